@@ -1,0 +1,170 @@
+"""Secrets: patterns, and a battery of randomness tests on long tokens. DataFrame functions only.
+
+Base kinds, leftmost without overlap, failing matches dropped: assign (a name such as password, then = or :, then 12
+characters or more), access (AKIA and 14 or more capitals or digits), hex (16 or more of 0-9a-f). Their spans are whole
+matches, in code points, the end exclusive.
+
+Kind random: a token of 20 to 4096 characters of an encoding, inferred from its characters (hex, base32, base64 with its
+URL form), that three tests do not tell from uniform symbols: chi-squared over the alphabet, the number of runs above
+and below the middle, and the correlation of neighbours. Each is turned into a normal deviate whose tolerance is
+Bonferroni-corrected. The discovery is "not ordinary text": for each token, the chance that text with the corpus's own
+character frequencies would look as even as it does, from the mean and deviation of the chi-squared statistic at that
+length. These chances are ranked within classes of length, by a histogram of fixed size, and Benjamini and Hochberg's
+rule bounds the share of false discoveries in each class.
+
+A null text counts as empty and gives no spans; rows may repeat; further columns are not touched; an empty table is
+allowed. A token with too few distinct symbols fails the tests; ties of the chances get the same decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+ASSIGN_VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+#: A shorter match of these two holds no longer one, so the least length can stand in the pattern.
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*"
+
+#: Longest token tested, false discovery rate, and deviates beyond which a test rejects.
+LONGEST, RATE, REJECT = 4096, 0.001, 3.2
+BINS = 512
+
+_ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def located(text: str, pattern: str) -> Column:
+    """array<struct<text, start>> of a pattern's matches. split() gives what lies between them; the ends are prefix sums
+    of the lengths, by doubling, so that the work stays near the number of matches."""
+    col = F.col(text)
+    pair = F.array(F.struct(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)).alias("m"), F.split(col, pattern, -1).alias("g")))
+
+    def place(x: Column) -> Column:
+        sizes = F.transform(x["m"], lambda m, i: F.char_length(m).cast("long") + F.char_length(F.get(x["g"], i)))
+        strides = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(x["m"]) + F.lit(1.0))).cast("int")), lambda e: F.pow(F.lit(2.0), e).cast("int"))
+        ends = F.aggregate(strides, sizes, lambda acc, d: F.transform(acc, lambda v, i: v + F.when(i >= d, F.get(acc, i - d)).otherwise(F.lit(0))))
+        return F.transform(F.arrays_zip(x["m"].alias("m"), ends.alias("e")), lambda y: F.struct(y["m"].alias("text"), (y["e"] - F.char_length(y["m"])).alias("start")))
+
+    none = F.array().cast("array<struct<text:string,start:bigint>>")
+    return F.when(col.rlike(pattern), F.flatten(F.transform(pair, place))).otherwise(none)
+
+
+def _size_of_value(match: Column) -> Column:
+    return F.char_length(F.regexp_extract(match, ASSIGN_VALUE, 1))
+
+
+def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with assign, access and hex: arrays of struct<text, start>."""
+    return (
+        df.withColumn("assign", F.filter(located(text, ASSIGN), lambda x: _size_of_value(x["text"]) >= 12))
+        .withColumn("access", located(text, ACCESS))
+        .withColumn("hex", located(text, HEX))
+    )
+
+
+def tokens(df: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
+    """A row for each token to be tested: id columns, token, start, encoding, alphabet size, symbols (0-based places)."""
+    found = df.select(*id_cols, F.explode(located(text, TOKEN)).alias("t")).select(
+        *id_cols, F.rtrim(F.col("t.text"), F.lit("=")).alias("token"), F.col("t.start").alias("start")
+    ).where(f"char_length(token) BETWEEN 20 AND {LONGEST}")
+    enc = F.expr("CASE WHEN token RLIKE '^[0-9a-f]+$' THEN 'hex' WHEN token RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END")
+    # Symbols' places in the alphabet, by translate to their base-64 order: the URL form's - and _ count as + and /.
+    places = "transform(split(token, ''), c -> CAST(CASE enc WHEN 'hex' THEN instr('{hex}', c) WHEN 'base32' THEN instr('{base32}', c) ELSE instr('{base64}', translate(c, '-_', '+/')) END - 1 AS INT))".format(**_ALPHABETS)
+    return (
+        found.withColumn("enc", enc)
+        .withColumn("k", F.expr("CASE enc WHEN 'hex' THEN 16 WHEN 'base32' THEN 32 ELSE 64 END"))
+        .withColumn("sym", F.expr(places))
+        .withColumn("n", F.size("sym"))
+    )
+
+
+def _normal_tail(z: str) -> str:
+    """P(Z < z) in SQL, by the logistic form of the normal distribution's tail (error below 2e-4)."""
+    return f"1D / (1D + exp(greatest(-700D, least(700D, -(1.5976D * ({z}) + 0.070565992D * pow({z}, 3D))))))"
+
+
+def battery(toks: DataFrame) -> DataFrame:
+    """With the tests' deviates z_chi, z_runs, z_serial and chi (the chi-squared statistic)."""
+    counts = "aggregate(sym, array_repeat(0, k), (a, s) -> transform(a, (x, i) -> IF(i = s, x + 1, x)))"
+    high = "aggregate(sym, 0, (a, s) -> a + IF(2 * s >= k, 1, 0))"
+    turns = "aggregate(transform(slice(sym, 2, n), (s, i) -> IF((2 * s >= k) <> (2 * sym[i] >= k), 1, 0)), 0, (a, s) -> a + s)"
+    serial = "aggregate(transform(slice(sym, 2, n), (s, i) -> (s - (k - 1) / 2D) * (sym[i] - (k - 1) / 2D)), 0D, (a, s) -> a + s)"
+    return (
+        toks.withColumn("counts", F.expr(counts))
+        .withColumn("chi", F.expr("aggregate(counts, 0D, (a, c) -> a + pow(c - n / CAST(k AS DOUBLE), 2D)) * k / n"))
+        .withColumn("z_chi", F.expr("(pow(chi / (k - 1), 1D / 3) - (1 - 2D / (9 * (k - 1)))) / sqrt(2D / (9 * (k - 1)))"))
+        .withColumn("hi", F.expr(high))
+        .withColumn("runs", F.expr(f"1 + {turns}"))
+        .withColumn("mu", F.expr("1 + 2D * hi * (n - hi) / n"))
+        .withColumn("z_runs", F.expr("CASE WHEN hi = 0 OR hi = n THEN 99D ELSE (runs - mu) / sqrt(greatest(1e-9D, (mu - 1) * (mu - 2) / (n - 1))) END"))
+        .withColumn("z_serial", F.expr(f"{serial} / ((k * CAST(k AS DOUBLE) - 1) / 12) / sqrt(n - 1D)"))
+        .drop("counts", "hi", "runs", "mu")
+    )
+
+
+def discoveries(tested: DataFrame, background: DataFrame) -> DataFrame:
+    """tested with found: whether the token counts as random. background: enc, d, v (at most three rows): by how much
+    ordinary text raises the chi-squared statistic a symbol, and its variance a symbol."""
+    p = _normal_tail("(chi - (k - 1) - n * d) / sqrt(2D * (k - 1) + n * v)")
+    scored = tested.join(F.broadcast(background), "enc", "left").withColumn("p", F.expr(f"CASE WHEN d IS NULL THEN 1D ELSE {p} END"))
+    # Classes by length double: 20-39, 40-79, ... Bins by the logarithm of p; at most 8 * BINS * 3 rows come of it.
+    scored = scored.withColumn("len_class", F.expr("CAST(floor(log2(n / 20D)) AS INT)")).withColumn("bin", F.expr(f"CAST(least({BINS - 1}, floor(-8 * ln(greatest(p, 1e-27D)))) AS INT)"))
+    hist = scored.groupBy("enc", "len_class", "bin").agg(F.count("*").alias("c"))
+    cum = hist.selectExpr(
+        "*",
+        "sum(c) OVER (PARTITION BY enc, len_class ORDER BY bin DESC) AS upto",
+        "sum(c) OVER (PARTITION BY enc, len_class) AS m",
+    )
+    # The largest p, so the lowest bin, whose upper bound exp(-bin/8) meets rank / m * RATE.
+    cut = cum.where(f"exp(-bin / 8D) <= {RATE} * upto / m").groupBy("enc", "len_class").agg(F.min("bin").alias("cut"))
+    even = F.expr(f"z_chi <= {REJECT} AND z_chi >= -{REJECT + 1} AND abs(z_runs) <= {REJECT} AND abs(z_serial) <= {REJECT}")
+    return scored.join(F.broadcast(cut), ["enc", "len_class"], "left").withColumn("found", F.coalesce((F.col("bin") >= F.col("cut")) & even, F.lit(False)))
+
+
+def background(docs: DataFrame, text: str = "text") -> DataFrame:
+    """d and v for each encoding from the frequencies of letters and digits in all texts (at most 64 counted symbols)."""
+    symbols = _ALPHABETS["base64"]
+    counts = [f"sum(octet_length({text}) - octet_length(replace({text}, '{c}', ''))) AS s{i}" for i, c in enumerate(symbols)]
+    one = docs.selectExpr(*counts)
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"s{i}").alias("x")) for i, c in enumerate(symbols)])).alias("r")).select("r.*")
+    parts = []
+    for enc, alphabet in _ALPHABETS.items():
+        k = len(alphabet)
+        own = rows.where(F.lit(alphabet).contains(F.col("c")))
+        total = own.agg(F.sum("x").alias("t"))
+        q = own.crossJoin(F.broadcast(total)).selectExpr("x / t AS q").where("t > 0")
+        parts.append(q.selectExpr(f"count(q) AS cells", "sum(q * q) AS s2", "sum(q * q * q) AS s3").selectExpr(f"'{enc}' AS enc", f"{k} * s2 - 1 AS d", f"4D * {k} * {k} * (s3 - s2 * s2) AS v"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: id, n_assign, n_access, n_hex, base and spans (kind:start:end, by start and then kind, comma-joined).
+
+    Rows are told apart by id and text, so rows that repeat get the same result."""
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keyed = src.withColumn("th", F.xxhash64("text"))
+    found = discoveries(battery(tokens(keyed, ["id", "th"])), background(src)).where("found")
+    # The random tokens of one document: bounded by its own length.
+    extra = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", F.lit(3).alias("kind"), (F.col("start") + F.char_length("token")).alias("end"))).alias("extra"))
+    own = base_spans(keyed).drop("text")
+
+    def of_kind(k: int) -> Column:
+        return F.transform(KINDS[k], lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), (x["start"] + F.char_length(x["text"])).alias("end")))
+
+    out = own.select("id", "th", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.concat(*map(of_kind, range(3))).alias("base"))
+    extra = extra.select(F.col("id").alias("xid"), F.col("th").alias("xth"), "extra")
+    out = out.join(extra, out["id"].eqNullSafe(extra["xid"]) & (out["th"] == extra["xth"]), "left").drop("xid", "xth", "th")
+    names = F.array(*map(F.lit, KINDS))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    all_spans = F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
+    return out.select("id", *[f"n_{k}" for k in KINDS[:3]], joined(F.col("base")).alias("base"), joined(all_spans).alias("spans"))
