@@ -95,8 +95,8 @@ SQL: dict[str, str] = {
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
         n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
         u AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
-        e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
-            HAVING 100 * count(*) >= 85 * ((SELECT n_shingles FROM n WHERE doc_id = a) + (SELECT n_shingles FROM n WHERE doc_id = b) - count(*))),
+        x AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n_shingles + q.n_shingles - c)),
         r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id AND r.root < e.b)
         SELECT n.doc_id, n_shingles, min(root) AS component_id, min(root) = n.doc_id AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n_shingles""",
     "op7_decontaminate": f"""

@@ -129,19 +129,12 @@ def discoveries(tested: DataFrame, background: DataFrame) -> DataFrame:
 
 
 def background(docs: DataFrame, text: str = "text") -> DataFrame:
-    """d and v for each encoding from the frequencies of letters and digits in all texts (at most 64 counted symbols)."""
-    symbols = _ALPHABETS["base64"]
-    counts = [f"sum(octet_length({text}) - octet_length(replace({text}, '{c}', ''))) AS s{i}" for i, c in enumerate(symbols)]
-    one = docs.selectExpr(*counts)
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"s{i}").alias("x")) for i, c in enumerate(symbols)])).alias("r")).select("r.*")
-    parts = []
-    for enc, alphabet in _ALPHABETS.items():
-        k = len(alphabet)
-        own = rows.where(F.lit(alphabet).contains(F.col("c")))
-        total = own.agg(F.sum("x").alias("t"))
-        q = own.crossJoin(F.broadcast(total)).selectExpr("x / t AS q").where("t > 0")
-        parts.append(q.selectExpr(f"count(q) AS cells", "sum(q * q) AS s2", "sum(q * q * q) AS s3").selectExpr(f"'{enc}' AS enc", f"{k} * s2 - 1 AS d", f"4D * {k} * {k} * (s3 - s2 * s2) AS v"))
-    return parts[0].union(parts[1]).union(parts[2])
+    """d and v for each encoding (see discoveries()), from the frequencies of its symbols in all texts."""
+    seen = docs.select(F.explode(F.split(text, "")).alias("c")).groupBy("c").agg(F.count("*").cast("double").alias("x"))
+    cells = ", ".join(f"struct('{enc}' AS enc, {len(a)}D AS k, '{a}' AS a)" for enc, a in _ALPHABETS.items())
+    own = seen.withColumn("e", F.expr(f"explode(array({cells}))")).where("contains(e.a, c)")
+    sums = own.groupBy("e.enc", "e.k").agg(F.sum("x").alias("s1"), F.sum(F.pow("x", F.lit(2.0))).alias("s2"), F.sum(F.pow("x", F.lit(3.0))).alias("s3"))
+    return sums.selectExpr("enc", "k * s2 / (s1 * s1) - 1 AS d", "4 * k * k * (s3 / pow(s1, 3D) - pow(s2 / (s1 * s1), 2D)) AS v")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
