@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.operators.array import Array, Scalar, aligned, elementwise
-from ragtide.operators.value import Leaf, fresh, lift
+from ragtide.operators.node import Leaf, fresh, lift
 
 _STRING, _BOOL, _LONG = T.StringType(), T.BooleanType(), T.LongType()
 
@@ -153,9 +153,9 @@ def extract_regex(array: Array, pattern: str) -> Array:
     whole = re.sub(r"\(\?P?<([A-Za-z][A-Za-z0-9_]*)>", lambda m: f"(?<{m[1].replace('_', 'U95')}>", pattern)
     fn = lambda s: F.when(F.rlike(s, F.lit(whole)), F.struct(*[F.regexp_extract(s, whole, k).alias(n) for n, k in groups.items()]))
     made = _each(array, fn, None, "extract_regex")
-    from ragtide.operators.value import of_type
+    from ragtide.operators.node import of_type
 
-    return array.of(of_type(made.value.col, made.dtype))
+    return array.of(of_type(made.node.col, made.dtype))
 
 
 def _group_number(pattern: str, name: str) -> int:
@@ -342,7 +342,7 @@ def _splits(array: Array, pattern: str, max_splits: int | None, reverse: bool, n
         return F.when(cut <= 0, parts).otherwise(F.concat(F.array(head), tail))
 
     made = _each(array, fn, None, name)
-    return Array(made.frame, Leaf(made.value.col, made.depth + 1, made.value.skel + fresh(1)))
+    return Array(made.frame, Leaf(made.node.col, made.depth + 1, made.node.skel + fresh(1)))
 
 
 def split_pattern(array: Array, pattern: str, max_splits: int | None = None, reverse: bool = False) -> Array:
@@ -368,12 +368,12 @@ def join(array: Array, separator: Any) -> Array:
     fn = lambda a, s: F.when(F.forall(a, lambda v: v.isNotNull()), F.array_join(a, s))
     d = array.depth - 1
     if other is None:
-        col = lift(lambda a: fn(a, sep), [array.value.col], [d])
+        col = lift(lambda a: fn(a, sep), [array.node.col], [d])
     else:
         # array_join takes a constant separator: the parts are put together one by one.
         glue = lambda a, s: F.when(F.forall(a, lambda v: v.isNotNull()), F.aggregate(a, F.struct(F.lit("").alias("t"), F.lit(False).alias("n")), lambda acc, v: F.struct(F.concat(acc["t"], F.when(acc["n"], s).otherwise(F.lit("")), v).alias("t"), F.lit(True).alias("n")), lambda acc: acc["t"]))
-        col = lift(glue, [array.value.col, other.value.col], [d, other.depth])
-    return Array(frame, Leaf(col, d, array.value.skel[:d]))
+        col = lift(glue, [array.node.col, other.node.col], [d, other.depth])
+    return Array(frame, Leaf(col, d, array.node.skel[:d]))
 
 
 def join_element_wise(*arrays: Any) -> Array:

@@ -48,9 +48,19 @@ def _floor_whole(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).when(b == 0, F.lit(0)).otherwise(F.try_divide(a - _mod(a, b), b)).cast("bigint")
 
 
-def _nan_safe(fn: Callable[[Column, Column], Column], answer: bool = False) -> Callable[[Column, Column], Column]:
-    """Spark takes NaN for the largest value, and for equal to itself."""
-    return lambda a, b: F.when(F.isnan(a) | F.isnan(b), F.lit(answer) & a.isNotNull() & b.isNotNull()).otherwise(fn(a, b))
+def _nan_safe(fn: Callable[[Column, Column], Column], side: int = 0) -> Callable[[Column, Column], Column]:
+    """Spark takes NaN for the largest value, and for equal to itself: it is told apart on the side where that matters.
+    The comparison itself stays a conjunct of its own, which filters hand down to the scan."""
+
+    def compare(a: Column, b: Column) -> Column:
+        x, y = (a, b) if side == 0 else (b, a)
+        return fn(a, b) & F.when(F.isnan(x), F.when(y.isNotNull(), F.lit(False))).otherwise(F.lit(True))
+
+    return compare
+
+
+def _unequal(a: Column, b: Column) -> Column:
+    return (a != b) | (F.isnan(a) & F.isnan(b))
 
 
 def _log(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -123,8 +133,8 @@ _make("hypot", lambda a, b: F.hypot(a, b), 2, _DOUBLE)
 _make("maximum", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)), 2)
 _make("minimum", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)), 2, floats=lambda a, b: F.when(F.isnan(a) | F.isnan(b), F.lit(_NAN)).when(a.isNotNull() & b.isNotNull(), F.least(a, b)))
 for _name, _fn in {"equal": lambda a, b: a == b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b}.items():
-    _make(_name, _fn, 2, _BOOL, floats=_nan_safe(_fn))
-_make("not_equal", lambda a, b: a != b, 2, _BOOL, floats=_nan_safe(lambda a, b: a != b, answer=True))
+    _make(_name, _fn, 2, _BOOL, floats=_nan_safe(_fn, 1 if _name.startswith("less") else 0))
+_make("not_equal", lambda a, b: a != b, 2, _BOOL, floats=_unequal)
 _make("logical_and", lambda a, b: _truth(a) & _truth(b), 2, _BOOL)
 _make("logical_or", lambda a, b: _truth(a) | _truth(b), 2, _BOOL)
 _make("logical_xor", lambda a, b: _truth(a) != _truth(b), 2, _BOOL)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import enum
-import math
 import numbers
-import operator
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -15,7 +13,7 @@ from pyspark.sql import types as T
 
 from ragtide.operators import behavior as behaviors
 from ragtide.operators.frame import HIDDEN, Frame, hidden
-from ragtide.operators.value import Leaf, Rec, Value, below, column, fresh, is_tuple, leaves, lift, mapped, of_type, rebuilt, scalar_type
+from ragtide.operators.node import Leaf, Rec, Value, below, column, fresh, is_tuple, leaves, lift, mapped, of_type, rebuilt, scalar_type
 
 
 class ConcretizationTypeError(TypeError):
@@ -156,35 +154,34 @@ class Partitions:
 class Array:
     """A lazy, partitioned array of nested lists and records: a value over a frame."""
 
-    __slots__ = ("frame", "value", "_attrs")
+    __slots__ = ("frame", "node")
     __array_priority__ = 1000
 
-    def __init__(self, frame: Frame, value: Value):
+    def __init__(self, frame: Frame, node: Value):
         object.__setattr__(self, "frame", frame)
-        object.__setattr__(self, "value", value)
-        object.__setattr__(self, "_attrs", None)
+        object.__setattr__(self, "node", node)
 
     # What it is.
     @property
     def depth(self) -> int:
-        return self.value.depth
+        return self.node.depth
 
     @property
     def ndim(self) -> int:
-        return self.value.depth + 1
+        return self.node.depth + 1
 
     @property
     def col(self) -> Column:
-        return column(self.value)
+        return column(self.node)
 
     @property
     def dtype(self) -> T.DataType:
         """Spark's type of a row."""
-        if isinstance(self.value, Leaf) and self.value.dtype is not None:
-            return self.value.dtype
+        if isinstance(self.node, Leaf) and self.node.dtype is not None:
+            return self.node.dtype
         out = self.frame.df.select(self.col.alias("v")).schema[0].dataType
-        if isinstance(self.value, Leaf):
-            object.__setattr__(self, "value", Leaf(self.value.col, self.value.depth, self.value.skel, out, self.value.attrs))
+        if isinstance(self.node, Leaf):
+            object.__setattr__(self, "node", Leaf(self.node.col, self.node.depth, self.node.skel, out, self.node.attrs))
         return out
 
     @property
@@ -203,19 +200,19 @@ class Array:
 
     @property
     def fields(self) -> list[str]:
-        return list(self.value.fields) if isinstance(self.value, Rec) else []
+        return list(self.node.fields) if isinstance(self.node, Rec) else []
 
     @property
     def attrs(self) -> dict:
-        return dict(self.value.attrs.get("attrs", {}))
+        return dict(self.node.attrs.get("attrs", {}))
 
     @property
     def parameters(self) -> dict:
-        return {k: v for k, v in self.value.attrs.items() if k not in ("attrs", "record")}
+        return {k: v for k, v in self.node.attrs.items() if k not in ("attrs", "record")}
 
     @property
     def record_name(self) -> str | None:
-        return self.value.attrs.get("record")
+        return self.node.attrs.get("record")
 
     @property
     def behavior(self) -> dict:
@@ -250,8 +247,8 @@ class Array:
 
     def reset_meta(self) -> None:
         """The schema belongs to the plan: nothing to forget but the cached type."""
-        if isinstance(self.value, Leaf):
-            object.__setattr__(self, "value", Leaf(self.value.col, self.value.depth, self.value.skel, None, self.value.attrs))
+        if isinstance(self.node, Leaf):
+            object.__setattr__(self, "node", Leaf(self.node.col, self.node.depth, self.node.skel, None, self.node.attrs))
 
     @property
     def partitions(self) -> Partitions:
@@ -265,7 +262,7 @@ class Array:
     # Making further arrays.
     def over(self, frame: Frame) -> Array:
         """The same expression over a frame that has this one's columns."""
-        return Array(frame, self.value)
+        return Array(frame, self.node)
 
     def of(self, value: Value) -> Array:
         return Array(self.frame, value)
@@ -275,7 +272,7 @@ class Array:
 
     def moved(self, fn: Callable[[Column], Column], level: int, change: int = 0, keep: bool = False) -> Array:
         """fn, which moves elements about, on the lists below `level` levels."""
-        v = self.value
+        v = self.node
         skel = v.skel if keep else v.skel[:level] + fresh(v.depth + change - level)
         return self.of(mapped(v, lambda c: below(fn, c, level), change, skel))
 
@@ -288,7 +285,7 @@ class Array:
     def __getattr__(self, name: str) -> Any:
         if name.startswith("__"):
             raise AttributeError(name)
-        if isinstance(self.value, Rec) and name in self.value.fields:
+        if isinstance(self.node, Rec) and name in self.node.fields:
             return self.field(name)
         found = behaviors.lookup(self.record_name, name)
         if found is not None:
@@ -305,9 +302,9 @@ class Array:
             raise AttributeError(f"use array[{name!r}] = ... to set a field")
 
     def field(self, name: str) -> Array:
-        if not isinstance(self.value, Rec) or name not in self.value.fields:
+        if not isinstance(self.node, Rec) or name not in self.node.fields:
             raise KeyError(f"no field {name!r}; fields: {self.fields}")
-        return self.of(self.value.fields[name])
+        return self.of(self.node.fields[name])
 
     def __setitem__(self, where: str, what: Any) -> None:
         from ragtide.operators.structure import with_field
@@ -318,14 +315,14 @@ class Array:
             raise TypeError("a field is set to an array or a number")
         new = with_field(self, what, where)
         object.__setattr__(self, "frame", new.frame)
-        object.__setattr__(self, "value", new.value)
+        object.__setattr__(self, "node", new.node)
 
     def __delitem__(self, where: str | list[str]) -> None:
         from ragtide.operators.structure import without_field
 
         if not isinstance(where, str | list | tuple):
             raise TypeError("only fields can be deleted, by their names")
-        object.__setattr__(self, "value", without_field(self, where).value)
+        object.__setattr__(self, "node", without_field(self, where).node)
 
     def _refuse(self, *_):
         raise ConcretizationTypeError("an Array")
@@ -350,9 +347,9 @@ class Array:
     def to_spark(self, name: str = "value", keep_order: bool = False) -> DataFrame:
         """A DataFrame with one column, or one for each field of an outermost record."""
         df = self.frame.sorted() if keep_order else self.frame.df
-        if isinstance(self.value, Rec) and self.value.depth == 0 and not is_tuple(self.value):
-            return df.select(*[column(v).alias(n, metadata=metadata(v)) for n, v in self.value.fields.items()])
-        return df.select(self.col.alias(name, metadata=metadata(self.value)))
+        if isinstance(self.node, Rec) and self.node.depth == 0 and not is_tuple(self.node):
+            return df.select(*[column(v).alias(n, metadata=metadata(v)) for n, v in self.node.fields.items()])
+        return df.select(self.col.alias(name, metadata=metadata(self.node)))
 
     def compute(self) -> list:
         """All rows, in order, as Python values."""
@@ -393,12 +390,12 @@ class Array:
 class Record:
     """One lazy row that is a record."""
 
-    def __init__(self, frame: Frame, value: Rec):
-        self.frame, self.value = frame, value
+    def __init__(self, frame: Frame, node: Rec):
+        self.frame, self.node = frame, node
 
     @property
     def fields(self) -> list[str]:
-        return list(self.value.fields)
+        return list(self.node.fields)
 
     def __getitem__(self, where: Any) -> Any:
         if isinstance(where, tuple):
@@ -407,32 +404,32 @@ class Record:
                 out = out[w]
             return out
         if isinstance(where, list):
-            return Record(self.frame, Rec(0, {n: self.value.fields[n] for n in where}, (), None, self.value.attrs))
+            return Record(self.frame, Rec(0, {n: self.node.fields[n] for n in where}, (), None, self.node.attrs))
         if not isinstance(where, str):
             raise TypeError("a record is indexed by field names")
-        if where not in self.value.fields:
+        if where not in self.node.fields:
             raise KeyError(where)
-        return single(Array(self.frame, self.value.fields[where]))
+        return single(Array(self.frame, self.node.fields[where]))
 
     def __getattr__(self, name: str) -> Any:
-        if name.startswith("__") or name in ("frame", "value"):
+        if name.startswith("__") or name in ("frame", "node"):
             raise AttributeError(name)
-        if name in self.value.fields:
+        if name in self.node.fields:
             return self[name]
-        found = behaviors.lookup(self.value.attrs.get("record"), name)
+        found = behaviors.lookup(self.node.attrs.get("record"), name)
         if found is None:
             raise AttributeError(name)
-        out = found(Array(self.frame, self.value))
+        out = found(Array(self.frame, self.node))
         return single(out) if isinstance(out, Array) else lambda *a, **k: single(out(*a, **k))
 
     def __iter__(self):
         raise NotImplementedError("a lazy record can't be iterated over")
 
     def to_spark(self) -> DataFrame:
-        return Array(self.frame, self.value).to_spark()
+        return Array(self.frame, self.node).to_spark()
 
     def compute(self) -> Any:
-        rows = Array(self.frame, self.value).compute()
+        rows = Array(self.frame, self.node).compute()
         return rows[0] if rows else None
 
     def __repr__(self) -> str:
@@ -443,8 +440,8 @@ def single(array: Array) -> Array | Record | Scalar:
     """What a one-row array's only row is. A list becomes an array of its elements."""
     if array.depth:
         return exploded(array)
-    if isinstance(array.value, Rec):
-        return Record(array.frame, array.value)
+    if isinstance(array.node, Rec):
+        return Record(array.frame, array.node)
     name = hidden("v")
     return Scalar(array.frame.df.select(array.col.alias(name)), name)
 
@@ -471,20 +468,21 @@ def over_columns(frame: Frame, columns: list[str]) -> Array:
 def carried(array: Array, change: Callable[[DataFrame], DataFrame], *, extra: dict[str, Column] | None = None, order: tuple[str, ...] | None = None) -> Array:
     """The array over a frame that has its leaves as columns of their own, changed by a DataFrame function."""
     frame = array.frame
-    names = {id(x): hidden("c") for x in leaves(array.value)}
+    names = {id(x): hidden("c") for x in leaves(array.node)}
     keep = [*frame.ordered(), *([frame.part] if frame.part else [])]
     # A record's own nulls are kept where it is still as it was read.
-    df = frame.df.select(*keep, *[x.col.alias(names[id(x)]) for x in leaves(array.value)], *[c.alias(n) for n, c in (extra or {}).items()])
+    df = frame.df.select(*keep, *[x.col.alias(names[id(x)]) for x in leaves(array.node)], *[c.alias(n) for n, c in (extra or {}).items()])
     out = frame.derived(change(df), order)
-    return Array(out, rebuilt(array.value, lambda x: F.col(names[id(x)])))
+    return Array(out, rebuilt(array.node, lambda x: F.col(names[id(x)])))
 
 
-def exploded(array: Array, outer: bool = False, keep: tuple[str, ...] = ()) -> Array:
-    """A row for each element of the outermost lists; null lists give none (with outer: a row of null)."""
+def exploded(array: Array, outer: bool = False, keep: tuple[str, ...] = (), ordered: bool = True) -> Array:
+    """A row for each element of the outermost lists; null lists give none (with outer: a row of null). ordered: False if
+    nobody will ask for the rows' order."""
     at = hidden("at")
-    frame, v = array.frame, array.value
+    frame, v = array.frame, array.node
     names = {id(x): hidden("c") for x in leaves(v)}
-    order = frame.ordered()
+    order = frame.ordered() if ordered else ()
     df = frame.df.select(*order, *keep, *([frame.part] if frame.part else []), *[x.col.alias(names[id(x)]) for x in leaves(v)])
     cols = list(names.values())
     rest = [c for c in df.columns if c not in cols]
@@ -525,12 +523,12 @@ def side_by_side(items: list, name: str) -> tuple[list, Frame]:
     for frame in frames:
         own = frame.ranked()
         mine = [a for a in arrays if a.frame is frame]
-        names = {id(x): hidden("c") for a in mine for x in leaves(a.value)}
-        cols = {names[id(x)]: x.col for a in mine for x in leaves(a.value)}
+        names = {id(x): hidden("c") for a in mine for x in leaves(a.node)}
+        cols = {names[id(x)]: x.col for a in mine for x in leaves(a.node)}
         there = hidden("there")
         part = frame.df.select(F.col(own).alias(row), *[c.alias(n) for n, c in cols.items()], F.lit(True).alias(there), *([F.col(frame.part).alias("__rt_part")] if frame.part and df is None else []))
         df = part if df is None else df.join(part, row, "full")
-        made.update({id(a): rebuilt(a.value, lambda x, names=names: F.col(names[id(x)])) for a in mine})
+        made.update({id(a): rebuilt(a.node, lambda x, names=names: F.col(names[id(x)])) for a in mine})
         if frame is not frames[0]:
             checked = F.when(F.col(there) & F.col(first), F.col(row)).otherwise(F.raise_error(F.lit(f"{name}: the arrays' lengths differ")).cast("bigint"))
             df = df.withColumn(row, checked).drop(there)
@@ -567,11 +565,11 @@ def elementwise(fn: Callable[..., Column], *items: Any, name: str = "operation",
     cols, depths, marks = [], [], []
     for x in items:
         if isinstance(x, Array):
-            if isinstance(x.value, Rec):
+            if isinstance(x.node, Rec):
                 raise TypeError(f"{name} isn't defined for records; fields: {x.fields}")
-            cols.append(x.value.col)
+            cols.append(x.node.col)
             depths.append(x.depth)
-            marks.append(x.value.skel)
+            marks.append(x.node.skel)
         else:
             cols.append(x if isinstance(x, Column) else x.expr() if isinstance(x, Scalar) else F.lit(x))
             depths.append(0)
@@ -592,10 +590,6 @@ def axis_level(array: Array, axis: int, what: str = "axis") -> int:
     return out
 
 
-def number(value: Any) -> Any:
-    return None if isinstance(value, float) and math.isnan(value) else value
-
-
 def _binary(name: str, flip: bool = False):
     def op(self, other):
         from ragtide.functions.ufuncs import by_name

@@ -29,11 +29,12 @@ def hidden(what: str) -> str:
 class Frame:
     """df: rows with hidden columns. order: columns that order them. row: a column of consecutive numbers from 0, if
     there is one. part: a column of partition numbers, if there is one. divisions: first row of each partition and the
-    number of rows, if known. files: (path column, row index column) of whole files, of which nothing is filtered out."""
+    number of rows, if known. from_files: the rows are those of Parquet files, ordered by file and place once somebody
+    asks; whole: and none is filtered out."""
 
-    def __init__(self, df: DataFrame, order: tuple[str, ...] = (), row: str | None = None, part: str | None = None, divisions: tuple[int, ...] | None = None, files: tuple[str, str] | None = None, parts: int | None = None):
-        self.df, self.order, self.row, self.part, self.divisions, self.files, self._parts = df, order, row, part, divisions, files, parts
-        self.sources: list = []
+    def __init__(self, df: DataFrame, order: tuple[str, ...] = (), row: str | None = None, part: str | None = None, divisions: tuple[int, ...] | None = None, parts: int | None = None, from_files: bool = False, whole: bool = False):
+        self.df, self.order, self.row, self.part, self.divisions, self._parts = df, order, row, part, divisions, parts
+        self.from_files, self.whole = from_files, whole
 
     @property
     def spark(self) -> SparkSession:
@@ -47,6 +48,9 @@ class Frame:
 
     def ordered(self) -> tuple[str, ...]:
         """The order columns; rows from elsewhere are ordered as Spark happens to read them."""
+        if not self.order and self.from_files:
+            self.order = (hidden("file"), hidden("pos"))
+            self.df = self.df.withColumns(dict(zip(self.order, (F.col("_metadata.file_path"), F.col("_metadata.row_index")))))
         if not self.order:
             name = hidden("id")
             self.df = self.df.withColumn(name, F.monotonically_increasing_id())
@@ -58,6 +62,8 @@ class Frame:
         return Frame(df, self.order if order is None else order, part=self.part if keeps_part else None, parts=parts or (self._parts if keeps_part else None))
 
     def where(self, mask: Column) -> Frame:
+        if not self.order and self.from_files:
+            return Frame(self.df.where(mask), part=self.part, parts=self._parts, from_files=True)
         self.ordered()
         return self.derived(self.df.where(mask))
 
@@ -74,19 +80,21 @@ class Frame:
         df = df.withColumns({**dict(zip(names, cuts)), before: value.cast("long")})
         start, total = hidden("o"), hidden("t")
         # One row for each bucket, so that one task can sum them up.
+        keys = [hidden("k") for _ in names]
         sums = df.groupBy(*names).agg(F.sum(before).alias(total))
         earlier = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(*names, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(start))
-        joined = df.join(sums, names)
+        sums = sums.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(start))
+        # Rows from several sources have nulls in each other's order columns.
+        joined = df.join(sums, [F.col(n).eqNullSafe(F.col(k)) for n, k in zip(names, keys)])
         own = Window.partitionBy(*names).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
-        return joined.withColumn(before, F.col(start) + F.coalesce(F.sum(before).over(own), F.lit(0))).drop(*names, start)
+        return joined.withColumn(before, F.col(start) + F.coalesce(F.sum(before).over(own), F.lit(0))).drop(*names, *keys, start)
 
     def ranked(self) -> str:
         """The column of consecutive row numbers; made when first asked for."""
         if self.row is None:
             name = hidden("row")
-            if self.files:
-                path, at = self.files
+            if self.whole:
+                path, at = self.ordered()
                 counts = self.df.groupBy(path).agg(F.count("*").alias("n"))
                 first = counts.select(F.col(path).alias(f"{name}p"), (F.sum("n").over(Window.orderBy(path)) - F.col("n")).alias(f"{name}f"))
                 self.df = self.df.join(first, F.col(path) == F.col(f"{name}p")).withColumn(name, F.col(f"{name}f") + F.col(at)).drop(f"{name}p", f"{name}f")
@@ -102,8 +110,8 @@ class Frame:
     def parted(self) -> str:
         """The column of partition numbers."""
         if self.part is None:
-            if self.files:
-                path = self.files[0]
+            if self.from_files and len(self.ordered()) == 2:
+                path = self.order[0]
                 name = hidden("part")
                 paths = self.df.select(F.col(path).alias(f"{name}p")).distinct()
                 paths = paths.withColumn(name, F.row_number().over(Window.orderBy(f"{name}p")) - 1)
@@ -119,10 +127,11 @@ class Frame:
         if self.divisions is not None:
             return len(self.divisions) - 1
         if self._parts is None:
-            if self.part is None and not self.files:
+            if self.part is None and not self.from_files:
                 self._parts = self.df.rdd.getNumPartitions()
             else:
-                top = self.df.agg(F.max(self.parted()), F.min(F.lit(0))).first()
+                part = self.parted()
+                top = self.df.agg(F.max(part)).first()
                 self._parts = 1 + (top[0] if top[0] is not None else 0)
         return self._parts
 
@@ -135,4 +144,9 @@ class Frame:
         return self.divisions
 
     def sorted(self) -> DataFrame:
-        return self.df.orderBy(*self.ordered())
+        order = self.ordered()
+        return self.df.orderBy(*order)
+
+    def first_rows(self, n: int) -> Frame:
+        order = self.ordered()
+        return self.derived(self.df.orderBy(*order).limit(n), keeps_part=False, parts=1)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ragtide.operators.array import Array, Scalar, aligned, single
 from ragtide.operators.structure import _masked
-from ragtide.operators.value import Rec, fresh, lift, mapped, thinnest
+from ragtide.operators.node import Rec, fresh, lift, mapped, thinnest
 
 
 def getitem(array: Array, where: Any) -> Any:
@@ -39,10 +39,10 @@ def getitem(array: Array, where: Any) -> Any:
 
 
 def _some(array: Array, names: list[str]) -> Array:
-    if not isinstance(array.value, Rec):
+    if not isinstance(array.node, Rec):
         raise TypeError("the array has no fields")
-    fields = {n: array.field(n).value for n in names}
-    return array.of(Rec(array.depth, fields, array.value.skel, None, array.value.attrs))
+    fields = {n: array.field(n).node for n in names}
+    return array.of(Rec(array.depth, fields, array.node.skel, None, array.node.attrs))
 
 
 def _tuple(array: Array, where: tuple) -> Any:
@@ -110,10 +110,10 @@ def _by_array(array: Array, where: Array) -> Array:
     frame, (array, where) = aligned(array, where, name="getitem")
     if isinstance(where.scalar_type, T.BooleanType):
         if where.depth == 0:
-            return array.over(frame.where(F.coalesce(where.value.col, F.lit(False))))
+            return array.over(frame.where(where.node.col))
         if where.depth > array.depth:
             raise ValueError("the selection is deeper than the array")
-        return _masked(array, where.value.col, where.depth)
+        return _masked(array, where.node.col, where.depth)
     if where.depth == 0:
         raise NotImplementedError("rows can't be gathered by a lazy array of numbers")
     level = where.depth
@@ -125,15 +125,15 @@ def _by_array(array: Array, where: Array) -> Array:
         one = lambda i: F.when(i.isNull() | ((i < n) & (i >= -n)), F.get(a, F.when(i < 0, i + n).otherwise(i).cast("int"))).otherwise(F.raise_error(F.lit("a place is beyond the end of a list")))
         return F.transform(places, one)
 
-    skel = array.value.skel[: level - 1] + where.value.skel[level - 1 : level] + fresh(array.depth - level)
-    return Array(frame, mapped(array.value, lambda c: lift(gather, [c, where.value.col], [level - 1, level - 1]), 0, skel))
+    skel = array.node.skel[: level - 1] + where.node.skel[level - 1 : level] + fresh(array.depth - level)
+    return Array(frame, mapped(array.node, lambda c: lift(gather, [c, where.node.col], [level - 1, level - 1]), 0, skel))
 
 
 def _row(array: Array, i: int) -> Any:
     """One row. The first is found without numbering the others."""
     frame = array.frame
     if i == 0:
-        one = frame.derived(frame.df.orderBy(*frame.ordered()).limit(1), parts=1)
+        one = frame.first_rows(1)
     else:
         row = frame.ranked()
         if i < 0:
@@ -155,7 +155,7 @@ def rows_slice(array: Array, s: slice) -> Array:
     frame = array.frame
     start, stop = s.start or 0, s.stop
     if start == 0 and step == 1 and stop is not None and stop >= 0:
-        return array.over(frame.derived(frame.df.orderBy(*frame.ordered()).limit(stop), keeps_part=False, parts=1))
+        return array.over(frame.first_rows(stop))
     row = F.col(frame.ranked())
     n = None
     if start < 0 or stop is not None and stop < 0:

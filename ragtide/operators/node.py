@@ -129,13 +129,12 @@ def rebuilt(value: Value, name: Callable[[Leaf], Column]) -> Value:
 
 
 def lift(fn: Callable[..., Column], cols: list[Column], depths: list[int], marks: list[tuple] | None = None) -> Column:
-    """fn below the list levels: columns of less depth are broadcast into deeper ones. Lists zipped with one another must
-    have equal lengths, which is checked unless their marks say so."""
-    deepest = max(depths, default=0)
-    if deepest <= 0:
+    """fn below the list levels, the outermost first: a column without further levels is repeated in the others' lists.
+    Lists zipped with one another must have equal lengths, which is checked unless their marks say so."""
+    deep = [i for i, d in enumerate(depths) if d > 0]
+    if not deep:
         return fn(*cols)
     marks = marks or [()] * len(cols)
-    deep = [i for i, d in enumerate(depths) if d == deepest]
 
     def at(values: dict[int, Column]) -> Column:
         down = [values.get(i, c) for i, c in enumerate(cols)]

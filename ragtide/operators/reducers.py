@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ragtide.functions import ufuncs
 from ragtide.operators.array import Array, Scalar, axis_level, carried, elementwise, exploded
 from ragtide.operators.frame import Frame, hidden
-from ragtide.operators.value import Leaf, Rec, below, fresh, mapped
+from ragtide.operators.node import Leaf, Rec, below, fresh, of_type
 
 _WHOLE = T.ByteType | T.ShortType | T.IntegerType | T.LongType | T.BooleanType
 
@@ -103,7 +103,8 @@ def along(fn: Callable[[Column], Column], a: Column, nested: int) -> Column:
     lists = _present(a)
     longest = F.coalesce(F.array_max(F.transform(lists, lambda x: F.size(x))), F.lit(0))
     places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda j: along(fn, F.transform(F.filter(lists, lambda x: F.size(x) > j), lambda x: F.get(x, j)), nested - 1))
+    made = F.transform(places, lambda j: along(fn, F.transform(F.filter(lists, lambda x: F.size(x) > j), lambda x: F.get(x, j)), nested - 1))
+    return F.when(a.isNotNull(), made)
 
 
 def _list_value(r: Reducer, dtype: T.DataType, mask: bool) -> Callable[[Column], Column]:
@@ -121,9 +122,9 @@ def _list_value(r: Reducer, dtype: T.DataType, mask: bool) -> Callable[[Column],
 def _run(name: str, array: Array, axis: int | None, keepdims: bool, mask_identity: bool, initial=None):
     if not isinstance(array, Array):
         raise TypeError(f"{name}: a lazy array is needed")
-    if isinstance(array.value, Rec):
+    if isinstance(array.node, Rec):
         if name == "count":
-            return array.of(Rec(array.depth - 1, {n: _run(name, array.field(n), axis, keepdims, mask_identity).value for n in array.fields}, array.value.skel[:-1]))
+            return array.of(Rec(array.depth - 1, {n: _run(name, array.field(n), axis, keepdims, mask_identity).node for n in array.fields}, array.node.skel[:-1]))
         raise TypeError(f"{name} isn't defined for records; fields: {array.fields}")
     r, dtype = _ALL[name], array.scalar_type
     if initial is not None:
@@ -138,34 +139,34 @@ def _run(name: str, array: Array, axis: int | None, keepdims: bool, mask_identit
         return _across(r, array, dtype, keepdims, mask_identity)
     fn = _list_value(r, dtype, mask_identity)
     nested = array.depth - level
-    col = below(lambda a: along(fn, a, nested), array.value.col, level - 1)
-    kept = array.value.skel[: level - 1]
+    col = below(lambda a: along(fn, a, nested), array.node.col, level - 1)
+    kept = array.node.skel[: level - 1]
     if not keepdims:
         return array.leaf(col, array.depth - 1, kept + fresh(array.depth - level))
     return array.leaf(below(lambda v: F.when(v.isNotNull(), F.array(v)) if nested else F.array(v), col, level - 1), array.depth, kept + fresh(array.depth - level + 1))
 
 
-def flat_values(array: Array) -> Array:
+def flat_values(array: Array, ordered: bool = True) -> Array:
     """A row for each value of the innermost lists."""
     while array.depth > 1:
-        array = array.leaf(F.flatten(_present(array.value.col)), array.depth - 1)
-    return exploded(array) if array.depth else array
+        array = array.leaf(F.flatten(_present(array.node.col)), array.depth - 1)
+    return exploded(array, ordered=ordered) if array.depth else array
 
 
 def _whole(r: Reducer, array: Array, dtype: T.DataType, keepdims: bool, mask: bool):
-    values = flat_values(array)
+    values = flat_values(array, ordered=r.total is None)
     if r.total is None:
         # The position among all values in row order; missing values have places, too.
         values = carried(values, lambda df: df)
         at = values.frame.ranked()
-        v = values.value.col
+        v = values.node.col
         pick = F.max if r.name == "argmax" else F.min
         best = values.frame.df.where(v.isNotNull()).agg((F.max if r.name == "argmax" else F.min)(F.struct(v.alias("v"), (-F.col(at) if r.name == "argmax" else F.col(at)).alias("i"))).alias("b"))
         out = F.abs(F.col("b.i"))
         del pick
     else:
         v = hidden("v")
-        best = values.frame.df.select(values.value.col.alias(v))
+        best = values.frame.df.select(values.node.col.alias(v))
         best = best.agg(r.total(F.col(v), dtype).alias("t"), F.count(v).alias("n"))
         out = F.when(F.col("n") > 0, F.col("t")) if mask else F.coalesce(F.col("t"), r.empty(dtype)) if r.empty else F.col("t")
     for _ in range(array.ndim if keepdims else 0):
@@ -184,12 +185,12 @@ def _across(r: Reducer, array: Array, dtype: T.DataType, keepdims: bool, mask: b
             return out
         return Array(Frame(out.df.select("value", F.lit(0).alias("__rt_o")), ("__rt_o",), parts=1), Leaf(F.col("value")))
     # A row for each value with its places in all lists: groups are those places, so their number is bounded by the lists'.
-    values, places = carried(array, lambda df: df), []
+    values, places = carried(array, lambda df: df) if r.total is None else array, []
     row = values.frame.ranked() if r.total is None else None
     while values.depth:
-        values = exploded(values, keep=tuple([*places, *([row] if row else [])]))
+        values = exploded(values, keep=tuple([*places, *([row] if row else [])]), ordered=False)
         places.append(values.frame.order[-1])
-    v = values.value.col
+    v = values.node.col
     df = values.frame.df
     if row:
         pick = F.struct(v.alias("v"), (-F.col(row) if r.name == "argmax" else F.col(row)).alias("i"))
@@ -285,18 +286,18 @@ def _moment_of(p: Column, n: int, ddof: int = 0, central: bool = True) -> Column
 
 
 def _moments(array: Array, weight: Array | None, axis: int | None, keepdims: bool, mask: bool, of_list: Callable[[Column], Column], of_rows: Callable[[Column, Column | None], Column], name: str):
-    if isinstance(array.value, Rec):
+    if isinstance(array.node, Rec):
         raise TypeError(f"{name} isn't defined for records; fields: {array.fields}")
     if axis is None or axis_level(array, axis) == 0:
         if axis == 0 and array.depth or keepdims:
             raise NotImplementedError(f"{name} at axis 0 of nested lists")
         if weight is None:
-            values = flat_values(array)
-            x, w, df = values.value.col.cast("double"), None, values.frame.df
+            values = flat_values(array, ordered=False)
+            x, w, df = values.node.col.cast("double"), None, values.frame.df
         else:
             both = elementwise(lambda v, k: F.struct(v.cast("double").alias("x"), k.cast("double").alias("w")), array, weight, name=name)
-            values = flat_values(both)
-            x, w, df = values.value.col.getField("x"), values.value.col.getField("w"), values.frame.df
+            values = flat_values(both, ordered=False)
+            x, w, df = values.node.col.getField("x"), values.node.col.getField("w"), values.frame.df
         df = df.select(x.alias("x"), *([w.alias("w")] if w is not None else [])).dropna()
         out = df.agg(of_rows(F.col("x"), F.col("w") if w is not None else None).alias("v"), F.count("x").alias("n"))
         empty = F.lit(None).cast("double") if mask else F.lit(float("nan"))
@@ -313,13 +314,13 @@ def _moments(array: Array, weight: Array | None, axis: int | None, keepdims: boo
         return F.array(value) if keepdims else value
 
     if weight is None:
-        col = below(lambda a: along(fn, a, nested), array.value.col, level - 1)
-        return array.leaf(col, array.depth - 1 + keepdims, array.value.skel[: level - 1] + fresh(nested + keepdims))
+        col = below(lambda a: along(fn, a, nested), array.node.col, level - 1)
+        return array.leaf(col, array.depth - 1 + keepdims, array.node.skel[: level - 1] + fresh(nested + keepdims))
     from ragtide.operators.array import aligned
-    from ragtide.operators.value import lift
+    from ragtide.operators.node import lift
 
     frame, (a, w) = aligned(array, weight, name=name)
-    col = lift(fn, [a.value.col, w.value.col], [level - 1, level - 1], [a.value.skel, w.value.skel])
+    col = lift(fn, [a.node.col, w.node.col], [level - 1, level - 1], [a.node.skel, w.node.skel])
     return Array(frame, Leaf(col, array.depth - 1 + keepdims, fresh(array.depth - 1 + keepdims)))
 
 
@@ -364,7 +365,7 @@ def _two(name: str, x: Array, y: Array, axis: int | None, of_rows: Callable[[Col
         raise NotImplementedError(f"{name} takes no weights")
     if axis is not None and axis_level(x, axis) == x.depth and x.depth:
         from ragtide.operators.array import aligned
-        from ragtide.operators.value import lift
+        from ragtide.operators.node import lift
 
         frame, (a, b) = aligned(x, y, name=name)
 
@@ -372,11 +373,12 @@ def _two(name: str, x: Array, y: Array, axis: int | None, of_rows: Callable[[Col
             rows = F.filter(F.zip_with(p, q, lambda u, v: F.struct(u.cast("double").alias("x"), v.cast("double").alias("y"))), lambda s: s["x"].isNotNull() & s["y"].isNotNull())
             return F.when(F.size(p) == F.size(q), _over(rows, of_list))
 
-        return Array(frame, Leaf(lift(fn, [a.value.col, b.value.col], [x.depth - 1] * 2), x.depth - 1, fresh(x.depth - 1)))
+        made = Array(frame, Leaf(lift(fn, [a.node.col, b.node.col], [x.depth - 1] * 2), x.depth - 1, fresh(x.depth - 1)))
+        return made.of(of_type(made.node.col, made.dtype)) if name == "linear_fit" else made
     if axis is not None and not (axis == 0 and x.depth == 0):
         raise NotImplementedError(f"{name} takes axis None or the innermost one")
-    both = flat_values(elementwise(lambda u, v: F.struct(u.cast("double").alias("x"), v.cast("double").alias("y")), x, y, name=name))
-    df = both.frame.df.select(both.value.col.getField("x").alias("x"), both.value.col.getField("y").alias("y")).dropna()
+    both = flat_values(elementwise(lambda u, v: F.struct(u.cast("double").alias("x"), v.cast("double").alias("y")), x, y, name=name), ordered=False)
+    df = both.frame.df.select(both.node.col.getField("x").alias("x"), both.node.col.getField("y").alias("y")).dropna()
     return Scalar(df.agg(of_rows(F.col("x"), F.col("y")).alias("value")))
 
 
@@ -422,5 +424,5 @@ def softmax(x, axis=None, keepdims=False, mask_identity=False):
 
         return _over(F.array_max(a), lambda m: _over(F.transform(a, lambda v: F.exp(v.cast("double") - m)), given))
 
-    return x.leaf(below(fn, x.value.col, x.depth - 1), x.depth, x.value.skel)
+    return x.leaf(below(fn, x.node.col, x.depth - 1), x.depth, x.node.skel)
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ragtide.operators.array import Array, aligned, carried
 from ragtide.operators.frame import Frame, hidden
-from ragtide.operators.value import Leaf, Rec, column, fresh, lift, mapped, of_type
+from ragtide.operators.node import Leaf, Rec, column, fresh, lift, mapped, of_type
 
 
 def concatenate(arrays: list[Array], axis: int = 0, mergebool: bool = True) -> Array:
@@ -49,7 +49,7 @@ def concatenate(arrays: list[Array], axis: int = 0, mergebool: bool = True) -> A
         fields = {n: type(v)(**{**v.__dict__, "skel": skel + v.skel[first.depth :]}) for n, v in fields.items()}
         return Rec(first.depth, fields, skel, None, first.attrs)
 
-    return Array(frame, joined([a.value for a in arrays]))
+    return Array(frame, joined([a.node for a in arrays]))
 
 
 def _append(arrays: list[Array]) -> Array:
@@ -63,8 +63,8 @@ def _append(arrays: list[Array]) -> Array:
         parts += a.frame.npartitions
         cols = [F.lit(k).alias(source), number.cast("int").alias(part), *[F.col(o).alias(n) for n, o in own]]
         # A record's fields stay columns of their own, so that the scans below still read only what is used.
-        if isinstance(a.value, Rec) and a.depth == 0:
-            df = a.frame.df.select(*cols, *[column(v).alias(f"{name}.{n}") for n, v in a.value.fields.items()])
+        if isinstance(a.node, Rec) and a.depth == 0:
+            df = a.frame.df.select(*cols, *[column(v).alias(f"{name}.{n}") for n, v in a.node.fields.items()])
         else:
             df = a.frame.df.select(*cols, a.col.alias(name))
         whole = df if whole is None else whole.unionByName(df, allowMissingColumns=True)
@@ -78,9 +78,9 @@ def _append(arrays: list[Array]) -> Array:
     if name in schema.names:
         if any(n.startswith(f"{name}.") for n in schema.names):
             raise TypeError("concatenate: records and plain values")
-        return Array(frame, of_type(F.col(name), schema[name].dataType, attrs=arrays[0].value.attrs))
+        return Array(frame, of_type(F.col(name), schema[name].dataType, attrs=arrays[0].node.attrs))
     fields = {n.removeprefix(f"{name}."): of_type(F.col(f"`{n}`"), schema[n].dataType) for n in schema.names if n.startswith(f"{name}.")}
-    return Array(frame, Rec(0, fields, (), None, arrays[0].value.attrs))
+    return Array(frame, Rec(0, fields, (), None, arrays[0].node.attrs))
 
 
 def repartition(array: Array, npartitions: int | None = None, divisions: Any = None, rows_per_partition: int | None = None, one_to_n: int | None = None, n_to_one: int | None = None) -> Array:
@@ -129,7 +129,7 @@ def repartition(array: Array, npartitions: int | None = None, divisions: Any = N
 def _dealt(array: Array, part: Any, n: int, divisions: tuple | None) -> Array:
     name = hidden("part")
     df = array.frame.df.withColumn(name, part).repartitionByRange(n, name)
-    return Array(Frame(df, array.frame.ordered(), part=name, divisions=divisions, parts=n), array.value)
+    return Array(Frame(df, array.frame.ordered(), part=name, divisions=divisions, parts=n), array.node)
 
 
 def sample(arr: Array, factor: int | None = None, probability: float | None = None, seed: int | None = None) -> Array:

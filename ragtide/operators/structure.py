@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ragtide.operators.array import Array, Scalar, aligned, axis_level, carried, elementwise, exploded
 from ragtide.operators.frame import Frame, hidden
 from ragtide.operators.reducers import flat_values
-from ragtide.operators.value import Leaf, Rec, Value, below, column, fresh, leaves, lift, mapped, of_type, thinnest
+from ragtide.operators.node import Leaf, Rec, Value, below, column, fresh, leaves, lift, mapped, of_type, thinnest
 
 _builtin_zip = zip
 
@@ -43,8 +43,8 @@ def num(array: Array, axis: int = 1) -> Array | Scalar:
         if array.frame.divisions is not None:
             return Scalar.from_known(array.frame.divisions[-1], T.LongType())
         return Scalar(array.frame.df.agg(F.count("*").alias("value")))
-    col = below(lambda a: F.size(a).cast("bigint"), thinnest(array.value, level), level - 1)
-    return array.leaf(col, level - 1, array.value.skel[: level - 1])
+    col = below(lambda a: F.size(a).cast("bigint"), thinnest(array.node, level), level - 1)
+    return array.leaf(col, level - 1, array.node.skel[: level - 1])
 
 
 def local_index(array: Array, axis: int = -1) -> Array:
@@ -53,8 +53,8 @@ def local_index(array: Array, axis: int = -1) -> Array:
     if level == 0:
         row = array.frame.ranked()
         return array.leaf(F.col(row), 0, ())
-    col = below(lambda a: F.transform(a, lambda v, i: i.cast("bigint")), thinnest(array.value, level), level - 1)
-    return array.leaf(col, level, array.value.skel[:level])
+    col = below(lambda a: F.transform(a, lambda v, i: i.cast("bigint")), thinnest(array.node, level), level - 1)
+    return array.leaf(col, level, array.node.skel[:level])
 
 
 def flatten(array: Array, axis: int | None = 1) -> Array:
@@ -85,9 +85,9 @@ def firsts(array: Array, axis: int = 1) -> Any:
 def singletons(array: Array, axis: int = 0) -> Array:
     """Lists of one value, or none for a missing value."""
     level = axis_level(_lazy(array, "singletons"), axis)
-    if isinstance(array.value, Rec) and level == array.depth:
-        gone = below(lambda v: v.isNull(), column(array.value), level)
-        return array.of(mapped(array.value, lambda c: lift(lambda v, g: F.when(g, F.slice(F.array(v), 1, 0)).otherwise(F.array(v)), [c, gone], [level, level]), 1))
+    if isinstance(array.node, Rec) and level == array.depth:
+        gone = below(lambda v: v.isNull(), column(array.node), level)
+        return array.of(mapped(array.node, lambda c: lift(lambda v, g: F.when(g, F.slice(F.array(v), 1, 0)).otherwise(F.array(v)), [c, gone], [level, level]), 1))
     return array.moved(lambda v: F.when(v.isNull(), F.slice(F.array(v), 1, 0)).otherwise(F.array(v)), level, 1)
 
 
@@ -105,7 +105,7 @@ def pad_none(array: Array, target: int, axis: int = 1, clip: bool = False) -> Ar
 def sort(array: Array, axis: int = -1, ascending: bool = True, stable: bool = True) -> Array:
     """Sorted lists, missing values last. Equal values can't be told apart, so every sort is stable."""
     level = _level(array, axis, "sort")
-    if isinstance(array.value, Rec) or level != array.depth:
+    if isinstance(array.node, Rec) or level != array.depth:
         raise NotImplementedError("sort is for the innermost lists of plain values")
     return array.moved(lambda a: F.array_sort(a) if ascending else F.sort_array(a, False), level - 1, keep=True)
 
@@ -113,7 +113,7 @@ def sort(array: Array, axis: int = -1, ascending: bool = True, stable: bool = Tr
 def argsort(array: Array, axis: int = -1, ascending: bool = True, stable: bool = True) -> Array:
     """Places that sort the lists, equal values in their order, missing ones last."""
     level = _level(array, axis, "argsort")
-    if isinstance(array.value, Rec) or level != array.depth:
+    if isinstance(array.node, Rec) or level != array.depth:
         raise NotImplementedError("argsort is for the innermost lists of plain values")
 
     def fn(a: Column) -> Column:
@@ -122,12 +122,12 @@ def argsort(array: Array, axis: int = -1, ascending: bool = True, stable: bool =
         keyed = F.array_sort(F.transform(a, lambda v, i: F.struct(v.isNotNull().alias("m"), v.alias("v"), (-i.cast("bigint")).alias("i"))))
         return F.transform(F.reverse(keyed), lambda s: -s["i"])
 
-    return array.leaf(below(fn, array.value.col, level - 1), array.depth, array.value.skel)
+    return array.leaf(below(fn, array.node.col, level - 1), array.depth, array.node.skel)
 
 
 def run_lengths(array: Array) -> Array:
     """Lengths of stretches of equal neighbours: in the innermost lists, or of the rows of a flat array."""
-    if isinstance(_lazy(array, "run_lengths").value, Rec):
+    if isinstance(_lazy(array, "run_lengths").node, Rec):
         raise TypeError("run_lengths isn't defined for records")
     if array.depth:
 
@@ -135,10 +135,10 @@ def run_lengths(array: Array) -> Array:
             starts = F.filter(F.transform(a, lambda v, i: i), lambda i: (i == 0) | ~F.get(a, i).eqNullSafe(F.get(a, i - 1)))
             return F.transform(starts, lambda s, j: (F.coalesce(F.get(starts, j + 1), F.size(a)) - s).cast("bigint"))
 
-        return array.leaf(below(fn, array.value.col, array.depth - 1), array.depth, array.value.skel[:-1] + fresh(1))
+        return array.leaf(below(fn, array.node.col, array.depth - 1), array.depth, array.node.skel[:-1] + fresh(1))
     # Runs may go on from partition to partition: each row is held against the one before by its number.
     base = carried(array, lambda df: df)
-    row, v = base.frame.ranked(), base.value.col
+    row, v = base.frame.ranked(), base.node.col
     before = base.frame.df.select((F.col(row) + 1).alias("__rt_r"), v.alias("__rt_v"))
     joined = base.frame.df.join(before, F.col(row) == F.col("__rt_r"), "left")
     run = hidden("run")
@@ -174,14 +174,14 @@ def unflatten(array: Array, counts: Any, axis: int = 0) -> Array:
         whole = F.coalesce(F.element_at(F.when(F.size(ends) > 0, ends), -1), F.lit(0))
         return F.when(whole == F.size(a), parts).otherwise(F.raise_error(F.lit("counts don't sum up to the length of a list")))
 
-    value = mapped(array.value, lambda c: lift(cut, [c, counts.value.col], [level - 1, level - 1]), 1, array.value.skel[: level - 1] + fresh(array.depth + 2 - level))
+    value = mapped(array.node, lambda c: lift(cut, [c, counts.node.col], [level - 1, level - 1]), 1, array.node.skel[: level - 1] + fresh(array.depth + 2 - level))
     return Array(frame, value)
 
 
 def _unflatten_rows(array: Array, counts: Any) -> Array:
     array = carried(array, lambda df: df)
     row = array.frame.ranked()
-    cols = leaves(array.value)
+    cols = leaves(array.node)
     names = [hidden("c") for _ in cols]
     flat = array.frame.df.select(F.col(row), *[x.col.alias(n) for x, n in _builtin_zip(cols, names)])
     if isinstance(counts, int):
@@ -192,7 +192,7 @@ def _unflatten_rows(array: Array, counts: Any) -> Array:
         counts = carried(_lazy(counts, "unflatten"), lambda df: df)
         group = counts.frame.ranked()
         first = hidden("f")
-        n = counts.value.col.cast("bigint")
+        n = counts.node.col.cast("bigint")
         places = counts.frame.running(n, first).select(F.col(group).alias("__rt_g"), F.col(first).alias("__rt_f"), n.alias("__rt_n"))
         places = places.withColumn("__rt_k", F.explode_outer(F.when(F.col("__rt_n") > 0, F.sequence(F.col("__rt_f"), F.col("__rt_f") + F.col("__rt_n") - 1))))
         keyed = places.join(flat, F.col("__rt_k") == F.col(row), "full")
@@ -211,7 +211,7 @@ def _unflatten_rows(array: Array, counts: Any) -> Array:
         fields = {n: replace(x, skel=mark + x.skel[1:]) for n, x in fields.items()}
         return Rec(v.depth + 1, fields, mark + v.skel, None, v.attrs)
 
-    return Array(Frame(made, ("__rt_g",), row="__rt_g"), deeper(array.value))
+    return Array(Frame(made, ("__rt_g",), row="__rt_g"), deeper(array.node))
 
 
 def from_regular(array: Array, axis: int | None = 1) -> Array:
@@ -226,7 +226,7 @@ def to_regular(array: Array, axis: int | None = 1) -> Array:
     if axis == 0:
         raise ValueError("the rows themselves can't be a list of fixed size")
     for level in range(1, array.depth + 1) if axis is None else [axis_level(array, axis)]:
-        size = thinnest(array.value, level)
+        size = thinnest(array.node, level)
         widest = array.frame.df.agg(F.max(_extreme(size, level, True)).alias("value"))
         one = array.frame.bind(widest.scalar())
         array = array.moved(lambda a: F.when(F.size(a) == one, a).otherwise(F.when(a.isNull(), a).otherwise(F.raise_error(F.lit("lists of different sizes can't become regular")))), level - 1, keep=True)  # noqa: B023
@@ -241,18 +241,18 @@ def _extreme(col: Column, level: int, top: bool) -> Column:
 
 def to_packed(array: Array) -> Array:
     """The same array: Spark's rows have no unused buffers."""
-    return _lazy(array, "to_packed").of(array.value)
+    return _lazy(array, "to_packed").of(array.node)
 
 
 def copy(array: Array) -> Array:
-    return _lazy(array, "copy").of(array.value)
+    return _lazy(array, "copy").of(array.node)
 
 
 # Missing values.
 def is_none(array: Array, axis: int = 0) -> Array:
     level = axis_level(_lazy(array, "is_none"), axis)
-    whole = column(array.value) if level == array.depth else thinnest(array.value, level + 1)
-    return array.leaf(below(lambda v: v.isNull(), whole, level), level, array.value.skel[:level], dtype=None)
+    whole = column(array.node) if level == array.depth else thinnest(array.node, level + 1)
+    return array.leaf(below(lambda v: v.isNull(), whole, level), level, array.node.skel[:level], dtype=None)
 
 
 def fill_none(array: Array, value: Any, axis: int | None = -1) -> Array:
@@ -281,7 +281,7 @@ def fill_none(array: Array, value: Any, axis: int | None = -1) -> Array:
             out = T.ArrayType(out)
         return Leaf(col, x.depth, x.skel, out, x.attrs)
 
-    return array.of(_each(_lazy(array, "fill_none").value, leaf))
+    return _lazy(array, "fill_none").of(_each(array.node, leaf))
 
 
 def drop_none(array: Array, axis: int | None = None) -> Array:
@@ -290,10 +290,10 @@ def drop_none(array: Array, axis: int | None = None) -> Array:
     levels = range(array.depth, -1, -1) if axis is None else [axis_level(array, axis)]
     for level in levels:
         if level == 0:
-            gone = column(array.value) if array.depth == 0 else thinnest(array.value, 1)
+            gone = column(array.node) if array.depth == 0 else thinnest(array.node, 1)
             array = array.over(array.frame.where(gone.isNotNull()))
-        elif isinstance(array.value, Rec) and level == array.depth:
-            there = below(lambda v: v.isNotNull(), column(array.value), level)
+        elif isinstance(array.node, Rec) and level == array.depth:
+            there = below(lambda v: v.isNotNull(), column(array.node), level)
             array = _masked(array, there, level)
         else:
             array = array.moved(lambda a: F.filter(a, lambda v: v.isNotNull()), level - 1)
@@ -306,8 +306,8 @@ def _masked(array: Array, mask_col: Column, level: int) -> Array:
     def fn(a: Column, m: Column) -> Column:
         return F.filter(a, lambda v, i: F.coalesce(F.get(m, i), F.lit(False)))
 
-    skel = array.value.skel[: level - 1] + fresh(array.depth - level + 1)
-    return array.of(mapped(array.value, lambda c: lift(fn, [c, mask_col], [level - 1, level - 1]), 0, skel))
+    skel = array.node.skel[: level - 1] + fresh(array.depth - level + 1)
+    return array.of(mapped(array.node, lambda c: lift(fn, [c, mask_col], [level - 1, level - 1]), 0, skel))
 
 
 def mask(array: Array, mask: Array, valid_when: bool = True) -> Array:
@@ -321,11 +321,11 @@ def mask(array: Array, mask: Array, valid_when: bool = True) -> Array:
         return F.when(m if valid_when else ~m, v)
 
     # Below a record's levels its own None comes as None of every field.
-    return Array(frame, mapped(array.value, lambda c: lift(fn, [c, mask.value.col], [level, level]), 0, array.value.skel))
+    return Array(frame, mapped(array.node, lambda c: lift(fn, [c, mask.node.col], [level, level]), 0, array.node.skel))
 
 
 def nan_to_none(array: Array) -> Array:
-    return array.of(_each(array.value, lambda x: replace(x, col=below(lambda v: F.when(~F.isnan(v), v), x.col, x.depth))))
+    return array.of(_each(array.node, lambda x: replace(x, col=below(lambda v: F.when(~F.isnan(v), v), x.col, x.depth))))
 
 
 def nan_to_num(array: Array, nan: float = 0.0, posinf: float | None = None, neginf: float | None = None) -> Array:
@@ -340,7 +340,7 @@ def nan_to_num(array: Array, nan: float = 0.0, posinf: float | None = None, negi
         fn = lambda v: F.when(F.isnan(v), F.lit(nan).cast(kind)).when(v == float("inf"), F.lit(high).cast(kind)).when(v == float("-inf"), F.lit(low).cast(kind)).otherwise(v)
         return replace(x, col=below(fn, x.col, x.depth))
 
-    return array.of(_each(_lazy(array, "nan_to_num").value, leaf))
+    return _lazy(array, "nan_to_num").of(_each(array.node, leaf))
 
 
 def isclose(a: Array, b: Any, rtol: float = 1e-05, atol: float = 1e-08, equal_nan: bool = False) -> Array:
@@ -368,7 +368,7 @@ def full_like(array: Array, fill_value: Any, dtype: Any = None) -> Array:
             whole = T.ArrayType(whole)
         return Leaf(below(lambda v: F.when(v.isNotNull(), fill.cast(kind)), x.col, x.depth), x.depth, x.skel, whole, {})
 
-    return array.of(_each(_lazy(array, "full_like").value, leaf))
+    return _lazy(array, "full_like").of(_each(array.node, leaf))
 
 
 def ones_like(array: Array, dtype: Any = None) -> Array:
@@ -417,7 +417,7 @@ def values_astype(array: Array, to: Any, including_unknown: bool = False) -> Arr
             whole = T.ArrayType(whole)
         return Leaf(below(fn, x.col, x.depth), x.depth, x.skel, whole, x.attrs)
 
-    return array.of(_each(_lazy(array, "values_astype").value, leaf))
+    return _lazy(array, "values_astype").of(_each(array.node, leaf))
 
 
 def strings_astype(array: Array, to: Any) -> Array:
@@ -426,7 +426,7 @@ def strings_astype(array: Array, to: Any) -> Array:
     whole = kind
     for _ in range(_lazy(array, "strings_astype").depth):
         whole = T.ArrayType(whole)
-    return array.of(_each(array.value, lambda x: Leaf(below(lambda v: v.try_cast(kind), x.col, x.depth), x.depth, x.skel, whole)))
+    return array.of(_each(array.node, lambda x: Leaf(below(lambda v: v.try_cast(kind), x.col, x.depth), x.depth, x.skel, whole)))
 
 
 # Choice.
@@ -456,15 +456,15 @@ def broadcast_arrays(*arrays: Any) -> list[Array]:
     frame, items = aligned(*arrays, name="broadcast_arrays")
     depth = max(a.depth for a in lazies)
     model = next(a for a in items if isinstance(a, Array) and a.depth == depth)
-    shape = thinnest(model.value, depth)
+    shape = thinnest(model.node, depth)
 
     def one(x: Any) -> Array:
         if not isinstance(x, Array):
-            return Array(frame, Leaf(lift(lambda m, c: c, [shape, F.lit(x)], [depth, 0]), depth, model.value.skel))
+            return Array(frame, Leaf(lift(lambda m, c: c, [shape, F.lit(x)], [depth, 0]), depth, model.node.skel))
         if x.depth == depth:
-            return elementwise(lambda m, c: c, Array(frame, Leaf(shape, depth, model.value.skel)), x) if not x.fields else x
+            return elementwise(lambda m, c: c, Array(frame, Leaf(shape, depth, model.node.skel)), x) if not x.fields else x
         change = depth - x.depth
-        return Array(frame, mapped(x.value, lambda c: lift(lambda m, v: v, [shape, c], [depth, x.depth]), change, model.value.skel))
+        return Array(frame, mapped(x.node, lambda c: lift(lambda m, v: v, [shape, c], [depth, x.depth]), change, model.node.skel))
 
     return [one(x) for x in items]
 
@@ -478,15 +478,15 @@ def _placed(arrays: list[Array], names: list[str], places: Column, levels: int,
     fields = {}
     for k, (name, a) in enumerate(_builtin_zip(names, arrays)):
         pick = lambda c, p, k=k: below(lambda s: F.get(c, s.getField(f"p{k}")), p, levels)
-        fields[name] = mapped(a.value, lambda c, pick=pick: lift(pick, [c, places], [level - 1, level - 1]), levels - 1, skel + fresh(a.depth - level))
+        fields[name] = mapped(a.node, lambda c, pick=pick: lift(pick, [c, places], [level - 1, level - 1]), levels - 1, skel + fresh(a.depth - level))
     return arrays[0].of(Rec(level + levels - 1, fields, skel))
 
 
 def _choose(arrays: list[Array], level: int, nested: set[int] | bool | None, names: list[str]) -> Array:
     n = len(arrays)
-    thin = [thinnest(a.value, level) for a in arrays]
+    thin = [thinnest(a.node, level) for a in arrays]
     keep = set(range(n - 1)) if nested is True else set(nested or ())
-    skel = arrays[0].value.skel[: level - 1] + fresh(1 + len(keep))
+    skel = arrays[0].node.skel[: level - 1] + fresh(1 + len(keep))
 
     def build(cols: list[Column], i: int, chosen: list[Column], last: Callable[[list[Column]], Column]) -> Column:
         """A list level for each array, joined to the next where it isn't kept."""
@@ -503,7 +503,7 @@ def _choose(arrays: list[Array], level: int, nested: set[int] | bool | None, nam
     for k, a in enumerate(arrays):
         last = lambda cols, k=k: lambda chosen: cols[-1] if k == n - 1 else F.transform(cols[-1], lambda _: chosen[k])
         fn = lambda c, k=k, last=last: lift(lambda *cols: build(list(cols), 0, [], last(cols)), [c if j == k else thin[j] for j in range(n)], [level - 1] * n)
-        fields[names[k]] = mapped(a.value, fn, len(keep), skel + fresh(a.depth - level))
+        fields[names[k]] = mapped(a.node, fn, len(keep), skel + fresh(a.depth - level))
     return arrays[0].of(Rec(level + len(keep), fields, skel))
 
 
@@ -542,9 +542,9 @@ def combinations(array: Array, n: int, replacement: bool = False, axis: int = 1,
     names = fields or [str(i) for i in range(n)]
     if len(names) != n:
         raise ValueError("combinations: a name for each of the n fields")
-    thin = thinnest(array.value, level)
+    thin = thinnest(array.node, level)
     step = 0 if replacement else 1
-    skel = array.value.skel[: level - 1] + fresh(1)
+    skel = array.node.skel[: level - 1] + fresh(1)
 
     def rest(a: Column, start: Any) -> Column:
         return F.slice(a, start, F.greatest(F.lit(0), F.size(a) - start + 1))
@@ -555,7 +555,7 @@ def combinations(array: Array, n: int, replacement: bool = False, axis: int = 1,
         seconds = lambda a, s: F.flatten(F.transform(s, lambda v, j: rest(a, j + step + 1)))
         made = {}
         for name, pick in _builtin_zip(names, [whole] if n == 1 else [firsts, seconds]):
-            made[name] = mapped(array.value, lambda c, pick=pick: lift(pick, [c, thin], [level - 1, level - 1]), 0, skel + fresh(array.depth - level))
+            made[name] = mapped(array.node, lambda c, pick=pick: lift(pick, [c, thin], [level - 1, level - 1]), 0, skel + fresh(array.depth - level))
         return _labelled(array.of(Rec(level, made, skel)), parameters, with_name)
 
     def places(a: Column) -> Column:
@@ -597,27 +597,27 @@ def zip(arrays: Any, depth_limit: int | None = None, parameters: dict | None = N
     deepest = max(x.depth for x in items)
     limit = deepest if depth_limit is None else min(depth_limit - 1, deepest)
     model = next(x for x in items if x.depth == deepest)
-    shape = thinnest(model.value, limit) if limit else None
+    shape = thinnest(model.node, limit) if limit else None
     fields: dict[str, Value] = {}
     for name, x in _builtin_zip(names, items):
-        v = x.value
+        v = x.node
         if limit and v.depth < limit:
             at = v.depth
-            v = mapped(v, lambda c, at=at: lift(lambda m, y: y, [shape, c], [limit, at]), limit - at, model.value.skel[:limit])
-        elif limit and x is not model and (not v.skel or v.skel[:limit] != model.value.skel[:limit]):
+            v = mapped(v, lambda c, at=at: lift(lambda m, y: y, [shape, c], [limit, at]), limit - at, model.node.skel[:limit])
+        elif limit and x is not model and (not v.skel or v.skel[:limit] != model.node.skel[:limit]):
             if right_broadcast:
                 wide = lambda m, y: F.when((F.size(y) == 1) & (F.size(m) != 1), F.transform(m, lambda _: F.get(y, F.lit(0)))).otherwise(y)
                 v = mapped(v, lambda c: lift(wide, [shape, c], [limit - 1, limit - 1]), 0, v.skel)
             same = lambda m, y: F.when(F.size(m) != F.size(y), F.raise_error(F.lit("zip: lists of different lengths"))).otherwise(y)
             for level in range(limit):
-                v = mapped(v, lambda c, level=level: lift(same, [shape, c], [level, level]), 0, model.value.skel[:limit] + v.skel[limit:])
+                v = mapped(v, lambda c, level=level: lift(same, [shape, c], [level, level]), 0, model.node.skel[:limit] + v.skel[limit:])
         fields[name] = v
-    out = Array(frame, Rec(limit, fields, model.value.skel[:limit]))
+    out = Array(frame, Rec(limit, fields, model.node.skel[:limit]))
     if optiontype_outside_record:
         gone = [below(lambda v: v.isNotNull(), column(v) if v.depth == limit else thinnest(v, limit + 1), limit) for v in fields.values()]
-        there = lift(lambda *c: _and(c), gone, [limit] * len(gone), [model.value.skel] * len(gone))
-        whole = lift(lambda v, m: F.when(m, v), [column(out.value), there], [limit, limit], [model.value.skel] * 2)
-        out = Array(frame, replace(out.value, origin=whole))
+        there = lift(lambda *c: _and(c), gone, [limit] * len(gone), [model.node.skel] * len(gone))
+        whole = lift(lambda v, m: F.when(m, v), [column(out.node), there], [limit, limit], [model.node.skel] * 2)
+        out = Array(frame, replace(out.node, origin=whole))
     return _labelled(out, parameters, with_name)
 
 
@@ -633,9 +633,9 @@ def unzip(array: Array) -> tuple[Array, ...]:
 
 
 def _record(array: Array, name: str) -> Rec:
-    if not isinstance(_lazy(array, name).value, Rec):
+    if not isinstance(_lazy(array, name).node, Rec):
         raise TypeError(f"{name}: the array isn't one of records")
-    return array.value
+    return array.node
 
 
 def with_field(base: Array, what: Any, where: Any = None) -> Array:
@@ -651,7 +651,7 @@ def with_field(base: Array, what: Any, where: Any = None) -> Array:
     rec = _record(base, "with_field")
     name = path[0] if path[0] is not None else str(len(rec.fields))
     if isinstance(what, Array):
-        value = zip({"r": Array(frame, Leaf(thinnest(rec, rec.depth), rec.depth, rec.skel)) if rec.depth else Array(frame, Leaf(F.lit(0))), "f": what}, depth_limit=rec.depth + 1).value.fields["f"]
+        value = zip({"r": Array(frame, Leaf(thinnest(rec, rec.depth), rec.depth, rec.skel)) if rec.depth else Array(frame, Leaf(F.lit(0))), "f": what}, depth_limit=rec.depth + 1).node.fields["f"]
     else:
         lit = what.expr() if isinstance(what, Scalar) else F.lit(what)
         value = Leaf(below(lambda _: lit, thinnest(rec, rec.depth), rec.depth) if rec.depth else lit, rec.depth, rec.skel)
@@ -662,7 +662,7 @@ def without_field(base: Array, where: Any) -> Array:
     rec = _record(base, "without_field")
     if isinstance(where, tuple) and len(where) > 1:
         inner = without_field(base.field(where[0]), where[1:] if len(where) > 2 else where[1])
-        return base.of(replace(rec, fields={**rec.fields, where[0]: inner.value}, origin=None))
+        return base.of(replace(rec, fields={**rec.fields, where[0]: inner.node}, origin=None))
     gone = [where] if isinstance(where, str) else list(where)
     for n in gone:
         if n not in rec.fields:
@@ -672,20 +672,20 @@ def without_field(base: Array, where: Any) -> Array:
 
 def with_name(array: Array, name: str) -> Array:
     """Records of a name, which decides their behavior."""
-    return array.of(replace(_record(array, "with_name"), attrs={**array.value.attrs, "record": name}))
+    return array.of(replace(_record(array, "with_name"), attrs={**array.node.attrs, "record": name}))
 
 
 def with_parameter(array: Array, parameter: str, value: Any) -> Array:
-    return array.of(replace(_lazy(array, "with_parameter").value, attrs={**array.value.attrs, parameter: value}))
+    return array.of(replace(_lazy(array, "with_parameter").node, attrs={**array.node.attrs, parameter: value}))
 
 
 def without_parameters(array: Array, only: tuple[str, ...] | None = None) -> Array:
-    keep = {k: v for k, v in _lazy(array, "without_parameters").value.attrs.items() if k in ("attrs", "record") or only and k not in only}
-    return array.of(replace(array.value, attrs=keep))
+    keep = {k: v for k, v in _lazy(array, "without_parameters").node.attrs.items() if k in ("attrs", "record") or only and k not in only}
+    return array.of(replace(array.node, attrs=keep))
 
 
 def with_attrs(array: Array, attrs: dict) -> Array:
-    return array.of(replace(array.value, attrs={**array.value.attrs, "attrs": {**array.attrs, **attrs}}))
+    return array.of(replace(array.node, attrs={**array.node.attrs, "attrs": {**array.attrs, **attrs}}))
 
 
 def enforce_type(array: Array, type: Any) -> Array:
@@ -716,7 +716,7 @@ def enforce_type(array: Array, type: Any) -> Array:
         return col.cast(new)
 
     old = array.dtype
-    return array.of(of_type(to(array.col, old, target), target, attrs=array.value.attrs))
+    return array.of(of_type(to(array.col, old, target), target, attrs=array.node.attrs))
 
 
 def _required(col: Column, nullable: bool, what: str) -> Column:

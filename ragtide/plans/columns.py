@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ragtide.operators.array import Array, Record, Scalar
 from ragtide.operators.frame import HIDDEN
-from ragtide.operators.value import Leaf, Rec, Value, of_type
+from ragtide.operators.node import Leaf, Rec, Value, below
 
 
 def _frame(x: Any) -> DataFrame:
@@ -97,14 +97,25 @@ def optimize_columns(array: Array, columns: list[str]) -> Array:
     stay in its type but are missing everywhere."""
     wanted = set(columns)
 
-    def keep(v: Value, path: str) -> Value:
-        if any(path == w or path.startswith(f"{w}.") for w in wanted):
-            return v
-        if isinstance(v, Rec):
-            return Rec(v.depth, {n: keep(x, f"{path}.{n}" if path else n) for n, x in v.fields.items()}, v.skel, None, v.attrs)
-        return Leaf(F.lit(None).cast(Array(array.frame, v).dtype), v.depth, v.skel, v.dtype, v.attrs)
+    def kept(path: str) -> bool:
+        return any(path == w or path.startswith(f"{w}.") for w in wanted)
 
-    return array.of(keep(array.value, ""))
+    def keep(v: Value, path: str, shape: Leaf | None) -> Value:
+        if isinstance(v, Rec):
+            own = next((x for n, x in v.fields.items() if isinstance(x, Leaf) and x.depth >= v.depth and kept(f"{path}.{n}" if path else n)), None)
+            shape = own if v.depth and own else shape if shape and v.depth and shape.skel[: v.depth] == v.skel else None
+            return Rec(v.depth, {n: keep(x, f"{path}.{n}" if path else n, shape) for n, x in v.fields.items()}, v.skel, None, v.attrs)
+        if kept(path):
+            return v
+        # Lists of the records around a leaf stay as long as a leaf beside it says, where one is read.
+        levels = shape.depth if shape is not None and v.skel[: shape.depth] == shape.skel else 0
+        inner = Array(array.frame, v).dtype
+        for _ in range(levels):
+            inner = inner.elementType
+        none = F.lit(None).cast(inner)
+        return Leaf(below(lambda _: none, shape.col, levels) if levels else none, v.depth, v.skel, v.dtype, v.attrs)
+
+    return array.of(keep(array.node, "", None))
 
 
 def schema_of(array: Array) -> T.StructType:

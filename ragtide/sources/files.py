@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ragtide.operators.array import Array, over_columns
 from ragtide.operators.frame import Frame, hidden
-from ragtide.operators.value import Leaf, Rec, of_type
+from ragtide.operators.node import Leaf, Rec, of_type
 
 
 def _spark(spark: SparkSession | None = None) -> SparkSession:
@@ -30,13 +30,6 @@ def _paths(source: Any) -> list[str]:
     return [str(source)] if not isinstance(source, list | tuple) else [str(s) for s in source]
 
 
-def files_frame(df: DataFrame) -> Frame:
-    """The order of Parquet files: by path, then by row."""
-    path, at = hidden("file"), hidden("pos")
-    df = df.withColumns({path: F.col("_metadata.file_path"), at: F.col("_metadata.row_index")})
-    return Frame(df, (path, at), files=(path, at))
-
-
 def _pick(array: Array, columns: Any) -> Array:
     """Leaves named by dotted paths, in which * stands for any names."""
     import fnmatch
@@ -59,7 +52,7 @@ def _pick(array: Array, columns: Any) -> Array:
         parts, have = w.split("."), path.split(".")
         return len(parts) > len(have) and all(fnmatch.fnmatchcase(h, p) for h, p in zip(have, parts))
 
-    out = pick(array.value, "")
+    out = pick(array.node, "")
     if not out.fields:
         raise ValueError(f"no column matches {wanted}; there are {array.fields}")
     return array.of(out)
@@ -79,18 +72,18 @@ def from_parquet(path: Any, columns: Any = None, split_row_groups: bool | None =
         reader = reader.schema(schema)
     df = reader.parquet(*_paths(path))
     names = df.columns
-    array = over_columns(files_frame(df), names)
+    array = over_columns(Frame(df, from_files=True, whole=True), names)
     if columns is not None:
         array = _pick(array, columns)
     if split_row_groups:
         array.frame.compute_divisions()
-    return (array, _report(_paths(path), array.frame.df, array.frame.files[0], _spark(spark), "*.parquet")) if report else array
+    return (array, _report(_paths(path), df, _spark(spark))) if report else array
 
 
-def _report(paths: list[str], df: DataFrame, path: str, spark: SparkSession, pattern: str) -> DataFrame:
+def _report(paths: list[str], df: DataFrame, spark: SparkSession) -> DataFrame:
     """A row for each file: only names and sizes are listed; rows are counted from the files' own statistics."""
     listed = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
-    rows = df.groupBy(F.col(path).alias("__rt_path")).agg(F.count("*").alias("rows"))
+    rows = df.groupBy(F.col("_metadata.file_path").alias("__rt_path")).agg(F.count("*").alias("rows"))
     same = F.url_decode(F.regexp_replace("path", r"^file:/+", "/")) == F.url_decode(F.regexp_replace("__rt_path", r"^file:/+", "/"))
     return listed.join(rows, same, "left").select("path", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNotNull().alias("ok"))
 
@@ -178,8 +171,8 @@ def from_json(source: Any, line_delimited: bool = True, schema: Any = None, nan_
         lines = df.select("value").limit(meta_sample_rows) if meta_sample_rows else df.select("value")
         objects = lines.where(F.ltrim("value").startswith("{"))
         if objects.limit(1).count():
-            schema = spark.read.json(objects)
-            schema = schema.schema
+            strings = getattr(objects._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+            schema = T.StructType.fromJson(json.loads(spark._jsparkSession.read().json(strings).schema().json()))
         else:
             first = lines.first()
             if first is None:
@@ -207,11 +200,11 @@ def from_json(source: Any, line_delimited: bool = True, schema: Any = None, nan_
     frame = Frame(df, ("__rt_file", "__rt_block", "__rt_at"))
     if isinstance(schema, T.StructType):
         array = Array(frame, of_type(F.col("__rt_v"), schema))
-        array = array.of(Rec(0, array.value.fields, (), None))
+        array = array.of(Rec(0, array.node.fields, (), None))
     else:
         array = Array(frame, of_type(F.col("__rt_v"), schema))
     if complex_record_fields:
-        array = array.of(_complex(array.value, complex_record_fields))
+        array = array.of(_complex(array.node, complex_record_fields))
     return (array, failed) if report else array
 
 
@@ -268,7 +261,7 @@ def schema_of_jsonschema(schema: dict) -> T.DataType:
 def layout_to_jsonschema(layout: Any, existing_schema: dict | None = None, title: str = "untitled", description: str = "Made from an array's type", required: bool = False, is_option: bool = False) -> dict:
     """The JSON schema of an array's type."""
     dtype = layout.dtype if isinstance(layout, Array) else layout
-    size = layout.value.attrs.get("size") if isinstance(layout, Array) else None
+    size = layout.node.attrs.get("size") if isinstance(layout, Array) else None
 
     def of(t: T.DataType, nullable: bool) -> dict:
         if isinstance(t, T.StructType):

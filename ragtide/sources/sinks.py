@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.operators.array import Array
-from ragtide.operators.value import Rec, column
+from ragtide.operators.node import Rec, column
 
 
 def _written(array: Array, name: str = "value") -> DataFrame:
     """Rows in the array's order within each file, and files in its order where partitions are known."""
     frame = array.frame
-    df = frame.df
+    order, df = frame.ordered(), frame.df
     if frame.part is not None and frame.divisions is not None:
-        df = df.repartitionByRange(frame.npartitions, frame.part).sortWithinPartitions(*frame.ordered())
-    if isinstance(array.value, Rec) and array.depth == 0:
-        return df.select(*[column(v).alias(n) for n, v in array.value.fields.items()])
+        df = df.repartitionByRange(frame.npartitions, frame.part).sortWithinPartitions(*order)
+    if isinstance(array.node, Rec) and array.depth == 0:
+        return df.select(*[column(v).alias(n) for n, v in array.node.fields.items()])
     return df.select(array.col.alias(name))
 
 
@@ -75,7 +75,7 @@ def to_json(array: Array, path: str, line_delimited: bool = True, nan_string: st
             rows = F.to_json(F.struct(*[F.col(f"`{n}`") for n in df.columns]), {"ignoreNullFields": "false"})
             df = df.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(rows), ","), F.lit("]")).alias("value")).select("value")
             df.write.mode(mode).option("compression", compression or "none").text(path)
-        elif df.columns == ["value"] and not (isinstance(array.value, Rec) and array.depth == 0):
+        elif df.columns == ["value"] and not (isinstance(array.node, Rec) and array.depth == 0):
             # Bare values, as JSON has them: without a name in front.
             rows = F.regexp_replace(F.to_json(F.struct("value"), {"ignoreNullFields": "false"}), r'^\{"value":(.*)\}$', "$1")
             df.select(rows.alias("value")).write.mode(mode).option("compression", compression or "none").text(path)
@@ -95,14 +95,14 @@ def to_dataframe(array: Array, levelname: Callable[[int], str] = lambda i: f"{'s
     from ragtide.operators.array import exploded
     from ragtide.operators.structure import zip as rzip
 
-    if isinstance(array.value, Rec):
+    if isinstance(array.node, Rec):
         def flat(v: Rec, prefix: str = "") -> dict[str, Any]:
             out: dict[str, Any] = {}
             for n, x in v.fields.items():
                 out.update(flat(x, f"{prefix}{n}.") if isinstance(x, Rec) else {f"{prefix}{n}": array.of(x)})
             return out
 
-        parts = flat(array.value)
+        parts = flat(array.node)
         array = rzip(parts) if any(p.depth for p in parts.values()) else rzip(parts, depth_limit=1)
     row = array.frame.ranked()
     places = [row]
@@ -110,7 +110,7 @@ def to_dataframe(array: Array, levelname: Callable[[int], str] = lambda i: f"{'s
         array = exploded(array, keep=(row,) if row not in array.frame.order else ())
         places.append(array.frame.order[-1])
         array.frame.row = None
-    cols = [column(v).alias(n) for n, v in array.value.fields.items()] if isinstance(array.value, Rec) else [array.col.alias(values)]
+    cols = [column(v).alias(n) for n, v in array.node.fields.items()] if isinstance(array.node, Rec) else [array.col.alias(values)]
     return array.frame.df.select(*[F.col(p).cast("bigint").alias(levelname(i)) for i, p in enumerate(places)], *cols)
 
 
