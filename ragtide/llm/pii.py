@@ -26,7 +26,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_URL = re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=-]++@)?([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"'{}|\\^`]*)?")
+_URL = re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=:-]++@)?([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"'{}|\\^`]*)?")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:[\x20]?(?:no\.?|number|nr\.?|#))?[\x20]?[:#=]?[\x20]?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.I)
 
