@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of the largest table that narrowed() sends to all tasks.
+BUCKETS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def narrowed(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """df without most of the rows whose key isn't in wanted (one column), before they are shuffled. Keys are dealt into
+    BUCKETS buckets, so that what is sent to all tasks has a fixed size; where wanted fills all of them, every row passes.
+    A join on the key itself has to follow."""
+
+    def bucket(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+
+    used = wanted.select(bucket(F.col(wanted.columns[0])).alias("__bucket")).distinct()
+    return df.join(F.broadcast(used), bucket(key) == F.col("__bucket"), "left_semi")
+
+
 class Store:
     """Writes tables under one fresh folder; drop() and drop_all() delete what no later step reads."""
 
@@ -27,7 +44,7 @@ class Store:
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{tag}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
@@ -38,5 +55,7 @@ class Store:
 
     def free(self) -> None:
         """Lets Spark's cleaner delete shuffle files of finished steps: it does so once the driver's garbage is collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first round frees holds on to more
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
