@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.operators.array import Array, Scalar, aligned, elementwise
-from ragtide.operators.node import Leaf, fresh, lift
+from ragtide.operators.node import Leaf, fresh, let, lift
 
 _STRING, _BOOL, _LONG = T.StringType(), T.BooleanType(), T.LongType()
 
@@ -286,7 +286,7 @@ def slice(array: Array, start: int, stop: int | None = None, step: int = 1) -> A
             return part if step == 1 else F.array_join(F.filter(F.split(part, ""), lambda c, i: i % step == 0), "")
         from ragtide.operators.indexing import list_slice
 
-        return F.array_join(list_slice(F.split(s, ""), builtins.slice(start, stop, step)), "")
+        return F.array_join(let([F.split(s, "")], lambda c: list_slice(c, builtins.slice(start, stop, step))), "")
 
     return _each(array, fn, _STRING, "slice")
 
@@ -334,10 +334,11 @@ def _splits(array: Array, pattern: str, max_splits: int | None, reverse: bool, n
         if not reverse or n < 0:
             return F.split(s, pattern, n)
         # From the end: all parts, of which the first ones are put together again with what stood between them.
-        parts = F.split(s, pattern, -1)
+        return let([F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(0))], backwards)
+
+    def backwards(parts: Column, seps: Column) -> Column:
         tail = F.slice(parts, F.size(parts) - max_splits + 1, max_splits) if max_splits else F.slice(parts, 1, 0)
         cut = F.size(parts) - 1 - max_splits
-        seps = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
         head = F.array_join(F.transform(F.slice(parts, 1, cut + 1), lambda p, i: F.concat(p, F.when(i < cut, F.get(seps, i)).otherwise(F.lit("")))), "")
         return F.when(cut <= 0, parts).otherwise(F.concat(F.array(head), tail))
 

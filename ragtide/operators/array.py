@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ragtide.operators import behavior as behaviors
 from ragtide.operators.frame import HIDDEN, Frame, hidden
-from ragtide.operators.node import Leaf, Rec, Value, below, column, fresh, is_tuple, leaves, lift, mapped, of_type, rebuilt, scalar_type
+from ragtide.operators.node import Leaf, Rec, Value, below, column, fresh, is_tuple, leaves, lift, mapped, of_type, once, rebuilt, scalar_type
 
 
 class ConcretizationTypeError(TypeError):
@@ -274,7 +274,7 @@ class Array:
         """fn, which moves elements about, on the lists below `level` levels."""
         v = self.node
         skel = v.skel if keep else v.skel[:level] + fresh(v.depth + change - level)
-        return self.of(mapped(v, lambda c: below(fn, c, level), change, skel))
+        return self.of(mapped(v, lambda c: below(once(fn), c, level), change, skel))
 
     # Access.
     def __getitem__(self, where: Any) -> Any:

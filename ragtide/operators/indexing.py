@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragtide.operators.array import Array, Scalar, aligned, single
+from ragtide.operators.array import Array, aligned, single
 from ragtide.operators.structure import _masked
-from ragtide.operators.node import Rec, fresh, lift, mapped, thinnest
+from ragtide.operators.node import Rec, fresh, lift, mapped, once
 
 
 def getitem(array: Array, where: Any) -> Any:
@@ -126,7 +126,7 @@ def _by_array(array: Array, where: Array) -> Array:
         return F.transform(places, one)
 
     skel = array.node.skel[: level - 1] + where.node.skel[level - 1 : level] + fresh(array.depth - level)
-    return Array(frame, mapped(array.node, lambda c: lift(gather, [c, where.node.col], [level - 1, level - 1]), 0, skel))
+    return Array(frame, mapped(array.node, lambda c: lift(once(gather), [c, where.node.col], [level - 1, level - 1]), 0, skel))
 
 
 def _row(array: Array, i: int) -> Any:

@@ -128,6 +128,28 @@ def rebuilt(value: Value, name: Callable[[Leaf], Column]) -> Value:
     return replace(value, fields={n: rebuilt(v, name) for n, v in value.fields.items()}, origin=None)
 
 
+def _computed(col: Column) -> bool:
+    """Whether working the column out takes more than looking it up."""
+    return "(" in str(col).replace("namedlambdavariable()", "")
+
+
+def let(cols: list[Column], fn: Callable[..., Column]) -> Column:
+    """fn of columns that it may use any number of times, in lambdas too: each is worked out once for a row. (Spark would
+    work out a column that a lambda uses again for every element.)"""
+    at = [i for i, c in enumerate(cols) if _computed(c)]
+    if not at:
+        return fn(*cols)
+    if len(at) == 1:
+        return F.get(F.transform(F.array(cols[at[0]]), lambda v: fn(*[v if i == at[0] else c for i, c in enumerate(cols)])), F.lit(0))
+    bound = F.array(F.struct(*[cols[i].alias(f"c{i}") for i in at]))
+    return F.get(F.transform(bound, lambda s: fn(*[s.getField(f"c{i}") if i in at else c for i, c in enumerate(cols)])), F.lit(0))
+
+
+def once(fn: Callable[..., Column]) -> Callable[..., Column]:
+    """fn with its columns bound by let()."""
+    return lambda *cols: let(list(cols), fn)
+
+
 def lift(fn: Callable[..., Column], cols: list[Column], depths: list[int], marks: list[tuple] | None = None) -> Column:
     """fn below the list levels, the outermost first: a column without further levels is repeated in the others' lists.
     Lists zipped with one another must have equal lengths, which is checked unless their marks say so."""
@@ -135,6 +157,11 @@ def lift(fn: Callable[..., Column], cols: list[Column], depths: list[int], marks
     if not deep:
         return fn(*cols)
     marks = marks or [()] * len(cols)
+    alike = [bool(marks[deep[0]] and marks[i] and marks[deep[0]][0] == marks[i][0]) for i in deep]
+    # What lambdas below capture, and lists whose lengths are compared, are worked out once.
+    bound = [i for i in range(len(cols)) if (i not in deep or not all(alike)) and _computed(cols[i])]
+    if bound:
+        return let([cols[i] for i in bound], lambda *vs: lift(fn, [vs[bound.index(i)] if i in bound else c for i, c in enumerate(cols)], depths, marks))
 
     def at(values: dict[int, Column]) -> Column:
         down = [values.get(i, c) for i, c in enumerate(cols)]
@@ -148,8 +175,8 @@ def lift(fn: Callable[..., Column], cols: list[Column], depths: list[int], marks
     else:
         whole = F.arrays_zip(*[cols[i].alias(f"c{i}") for i in deep])
         out = F.transform(whole, lambda z: at({i: z.getField(f"c{i}") for i in deep}))
-    for other in deep[1:]:
-        if not (marks[first] and marks[other] and marks[first][0] == marks[other][0]):
+    for other, same in zip(deep[1:], alike[1:], strict=True):
+        if not same:
             out = F.when(F.size(cols[first]) != F.size(cols[other]), F.raise_error(F.lit("lists of different lengths can't be broadcast together"))).otherwise(out)
     return out
 

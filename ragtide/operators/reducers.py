@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ragtide.functions import ufuncs
 from ragtide.operators.array import Array, Scalar, axis_level, carried, elementwise, exploded
 from ragtide.operators.frame import Frame, hidden
-from ragtide.operators.node import Leaf, Rec, below, fresh, of_type
+from ragtide.operators.node import Leaf, Rec, below, fresh, let, of_type, once
 
 _WHOLE = T.ByteType | T.ShortType | T.IntegerType | T.LongType | T.BooleanType
 
@@ -100,11 +100,13 @@ def along(fn: Callable[[Column], Column], a: Column, nested: int) -> Column:
     """fn on lists of the values that stand at the same place of the lists in a, which lie `nested` levels deeper."""
     if nested == 0:
         return fn(a)
-    lists = _present(a)
-    longest = F.coalesce(F.array_max(F.transform(lists, lambda x: F.size(x))), F.lit(0))
-    places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
-    made = F.transform(places, lambda j: along(fn, F.transform(F.filter(lists, lambda x: F.size(x) > j), lambda x: F.get(x, j)), nested - 1))
-    return F.when(a.isNotNull(), made)
+
+    def made(lists: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(lists, lambda x: F.size(x))), F.lit(0))
+        places = F.transform(F.array_repeat(F.lit(0), longest), lambda _, j: j)
+        return F.transform(places, lambda j: along(fn, F.transform(F.filter(lists, lambda x: F.size(x) > j), lambda x: F.get(x, j)), nested - 1))
+
+    return let([_present(a)], lambda lists: F.when(lists.isNotNull(), made(lists)))
 
 
 def _list_value(r: Reducer, dtype: T.DataType, mask: bool) -> Callable[[Column], Column]:
@@ -116,7 +118,7 @@ def _list_value(r: Reducer, dtype: T.DataType, mask: bool) -> Callable[[Column],
             return F.when(a.isNotNull(), F.coalesce(value, F.lit(-1).cast("bigint") if r.empty is None else r.empty(dtype)))
         return value
 
-    return fn
+    return once(fn)
 
 
 def _run(name: str, array: Array, axis: int | None, keepdims: bool, mask_identity: bool, initial=None):

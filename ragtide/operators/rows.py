@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import inspect
 from collections.abc import Callable
 from typing import Any
 
@@ -10,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragtide.operators.array import Array, aligned, carried
+from ragtide.operators.array import Array, aligned
 from ragtide.operators.frame import Frame, hidden
-from ragtide.operators.node import Leaf, Rec, column, fresh, lift, mapped, of_type
+from ragtide.operators.node import Leaf, Rec, column, fresh, lift, of_type
 
 
 def concatenate(arrays: list[Array], axis: int = 0, mergebool: bool = True) -> Array:
@@ -56,20 +55,23 @@ def _append(arrays: list[Array]) -> Array:
     """A union of all frames. Each frame keeps its own order columns, behind the number of its array."""
     source, name = hidden("src"), hidden("v")
     whole, order, part, parts = None, [source], hidden("part"), 0
+    # Partitions are numbered on where all arrays have them; else they are what Spark makes of the union.
+    numbered = all(a.frame.part is not None for a in arrays)
     for k, a in enumerate(arrays):
         own = [(hidden("o"), o) for o in a.frame.ordered()]
         order += [n for n, _ in own]
-        number = F.col(a.frame.parted()) + parts
-        parts += a.frame.npartitions
-        cols = [F.lit(k).alias(source), number.cast("int").alias(part), *[F.col(o).alias(n) for n, o in own]]
+        cols = [F.lit(k).alias(source), *[F.col(o).alias(n) for n, o in own]]
+        if numbered:
+            cols.append((F.col(a.frame.part) + parts).cast("int").alias(part))
+            parts += a.frame.npartitions
         # A record's fields stay columns of their own, so that the scans below still read only what is used.
         if isinstance(a.node, Rec) and a.depth == 0:
             df = a.frame.df.select(*cols, *[column(v).alias(f"{name}.{n}") for n, v in a.node.fields.items()])
         else:
             df = a.frame.df.select(*cols, a.col.alias(name))
         whole = df if whole is None else whole.unionByName(df, allowMissingColumns=True)
-    frame = Frame(whole, tuple(order), part=part, parts=parts)
-    if all(a.frame.divisions is not None for a in arrays):
+    frame = Frame(whole, tuple(order), part=part, parts=parts) if numbered else Frame(whole, tuple(order))
+    if numbered and all(a.frame.divisions is not None for a in arrays):
         out = [0]
         for a in arrays:
             out += [out[-1] + d - c for c, d in zip(a.frame.divisions, a.frame.divisions[1:])]

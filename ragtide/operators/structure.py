@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ragtide.operators.array import Array, Scalar, aligned, axis_level, carried, elementwise, exploded
 from ragtide.operators.frame import Frame, hidden
 from ragtide.operators.reducers import flat_values
-from ragtide.operators.node import Leaf, Rec, Value, below, column, fresh, leaves, lift, mapped, of_type, thinnest
+from ragtide.operators.node import Leaf, Rec, Value, below, column, fresh, leaves, let, lift, mapped, of_type, once, thinnest
 
 _builtin_zip = zip
 
@@ -132,10 +132,10 @@ def run_lengths(array: Array) -> Array:
     if array.depth:
 
         def fn(a: Column) -> Column:
-            starts = F.filter(F.transform(a, lambda v, i: i), lambda i: (i == 0) | ~F.get(a, i).eqNullSafe(F.get(a, i - 1)))
-            return F.transform(starts, lambda s, j: (F.coalesce(F.get(starts, j + 1), F.size(a)) - s).cast("bigint"))
+            changes = F.filter(F.transform(a, lambda v, i: i), lambda i: (i == 0) | ~F.get(a, i).eqNullSafe(F.get(a, i - 1)))
+            return let([changes], lambda starts: F.transform(starts, lambda s, j: (F.coalesce(F.get(starts, j + 1), F.size(a)) - s).cast("bigint")))
 
-        return array.leaf(below(fn, array.node.col, array.depth - 1), array.depth, array.node.skel[:-1] + fresh(1))
+        return array.leaf(below(once(fn), array.node.col, array.depth - 1), array.depth, array.node.skel[:-1] + fresh(1))
     # Runs may go on from partition to partition: each row is held against the one before by its number.
     base = carried(array, lambda df: df)
     row, v = base.frame.ranked(), base.node.col
@@ -169,12 +169,17 @@ def unflatten(array: Array, counts: Any, axis: int = 0) -> Array:
     frame, (array, counts) = aligned(array, counts, name="unflatten")
 
     def cut(a: Column, n: Column) -> Column:
-        ends = F.transform(n, lambda v, i: F.aggregate(F.slice(n, 1, i + 1), F.lit(0).cast("bigint"), lambda s, x: s + x))
-        parts = F.zip_with(ends, n, lambda e, k: F.slice(a, (e - k + 1).cast("int"), k.cast("int")))
-        whole = F.coalesce(F.element_at(F.when(F.size(ends) > 0, ends), -1), F.lit(0))
+        # Lists in order with where each begins: one pass over the counts.
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("cuts"))
+        step = lambda acc, k: F.struct((acc["at"] + k).alias("at"), F.concat(acc["cuts"], F.array(F.struct(acc["at"].alias("at"), k.cast("bigint").alias("n")))).alias("cuts"))
+        return let([F.aggregate(n, start, step)], lambda made: parted(a, made))
+
+    def parted(a: Column, made: Column) -> Column:
+        parts = F.transform(made["cuts"], lambda c: F.slice(a, (c["at"] + 1).cast("int"), c["n"].cast("int")))
+        whole = made["at"]
         return F.when(whole == F.size(a), parts).otherwise(F.raise_error(F.lit("counts don't sum up to the length of a list")))
 
-    value = mapped(array.node, lambda c: lift(cut, [c, counts.node.col], [level - 1, level - 1]), 1, array.node.skel[: level - 1] + fresh(array.depth + 2 - level))
+    value = mapped(array.node, lambda c: lift(once(cut), [c, counts.node.col], [level - 1, level - 1]), 1, array.node.skel[: level - 1] + fresh(array.depth + 2 - level))
     return Array(frame, value)
 
 
@@ -304,7 +309,7 @@ def _masked(array: Array, mask_col: Column, level: int) -> Array:
     """Elements of the lists at a level, where a mask of the same structure is true."""
 
     def fn(a: Column, m: Column) -> Column:
-        return F.filter(a, lambda v, i: F.coalesce(F.get(m, i), F.lit(False)))
+        return let([m], lambda chosen: F.filter(a, lambda v, i: F.coalesce(F.get(chosen, i), F.lit(False))))
 
     skel = array.node.skel[: level - 1] + fresh(array.depth - level + 1)
     return array.of(mapped(array.node, lambda c: lift(fn, [c, mask_col], [level - 1, level - 1]), 0, skel))
@@ -478,7 +483,7 @@ def _placed(arrays: list[Array], names: list[str], places: Column, levels: int,
     fields = {}
     for k, (name, a) in enumerate(_builtin_zip(names, arrays)):
         pick = lambda c, p, k=k: below(lambda s: F.get(c, s.getField(f"p{k}")), p, levels)
-        fields[name] = mapped(a.node, lambda c, pick=pick: lift(pick, [c, places], [level - 1, level - 1]), levels - 1, skel + fresh(a.depth - level))
+        fields[name] = mapped(a.node, lambda c, pick=pick: lift(once(pick), [c, places], [level - 1, level - 1]), levels - 1, skel + fresh(a.depth - level))
     return arrays[0].of(Rec(level + levels - 1, fields, skel))
 
 
@@ -497,12 +502,12 @@ def _choose(arrays: list[Array], level: int, nested: set[int] | bool | None, nam
 
     if n > 2:
         ends = lambda cols: lambda chosen: F.transform(cols[-1], lambda v, j: F.struct(*[c.alias(f"p{k}") for k, c in enumerate([*chosen, j])]))
-        places = lift(lambda *cols: build(list(cols), 0, [], ends(cols)), thin, [level - 1] * n)
+        places = lift(once(lambda *cols: build(list(cols), 0, [], ends(cols))), thin, [level - 1] * n)
         return _placed(arrays, names, places, 1 + len(keep), level, skel)
     fields = {}
     for k, a in enumerate(arrays):
         last = lambda cols, k=k: lambda chosen: cols[-1] if k == n - 1 else F.transform(cols[-1], lambda _: chosen[k])
-        fn = lambda c, k=k, last=last: lift(lambda *cols: build(list(cols), 0, [], last(cols)), [c if j == k else thin[j] for j in range(n)], [level - 1] * n)
+        fn = lambda c, k=k, last=last: lift(once(lambda *cols: build(list(cols), 0, [], last(cols))), [c if j == k else thin[j] for j in range(n)], [level - 1] * n)
         fields[names[k]] = mapped(a.node, fn, len(keep), skel + fresh(a.depth - level))
     return arrays[0].of(Rec(level + len(keep), fields, skel))
 
@@ -555,7 +560,7 @@ def combinations(array: Array, n: int, replacement: bool = False, axis: int = 1,
         seconds = lambda a, s: F.flatten(F.transform(s, lambda v, j: rest(a, j + step + 1)))
         made = {}
         for name, pick in _builtin_zip(names, [whole] if n == 1 else [firsts, seconds]):
-            made[name] = mapped(array.node, lambda c, pick=pick: lift(pick, [c, thin], [level - 1, level - 1]), 0, skel + fresh(array.depth - level))
+            made[name] = mapped(array.node, lambda c, pick=pick: lift(once(pick), [c, thin], [level - 1, level - 1]), 0, skel + fresh(array.depth - level))
         return _labelled(array.of(Rec(level, made, skel)), parameters, with_name)
 
     def places(a: Column) -> Column:
@@ -566,7 +571,7 @@ def combinations(array: Array, n: int, replacement: bool = False, axis: int = 1,
 
         return build(0, F.lit(1), [])
 
-    at = below(places, thin, level - 1)
+    at = below(once(places), thin, level - 1)
     return _labelled(_placed([array] * n, names, at, 1, level, skel), parameters, with_name)
 
 
@@ -607,10 +612,10 @@ def zip(arrays: Any, depth_limit: int | None = None, parameters: dict | None = N
         elif limit and x is not model and (not v.skel or v.skel[:limit] != model.node.skel[:limit]):
             if right_broadcast:
                 wide = lambda m, y: F.when((F.size(y) == 1) & (F.size(m) != 1), F.transform(m, lambda _: F.get(y, F.lit(0)))).otherwise(y)
-                v = mapped(v, lambda c: lift(wide, [shape, c], [limit - 1, limit - 1]), 0, v.skel)
+                v = mapped(v, lambda c: lift(once(wide), [shape, c], [limit - 1, limit - 1]), 0, v.skel)
             same = lambda m, y: F.when(F.size(m) != F.size(y), F.raise_error(F.lit("zip: lists of different lengths"))).otherwise(y)
             for level in range(limit):
-                v = mapped(v, lambda c, level=level: lift(same, [shape, c], [level, level]), 0, model.node.skel[:limit] + v.skel[limit:])
+                v = mapped(v, lambda c, level=level: lift(once(same), [shape, c], [level, level]), 0, model.node.skel[:limit] + v.skel[limit:])
         fields[name] = v
     out = Array(frame, Rec(limit, fields, model.node.skel[:limit]))
     if optiontype_outside_record:

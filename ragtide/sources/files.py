@@ -134,12 +134,14 @@ def _lines(paths: list[str], compression: str | None, delimiter: str | None, spa
     return raw.mapInArrow(run, "value string, __rt_file string, __rt_block long, __rt_at long")
 
 
-def from_text(source: Any, blocksize: Any = "128 MiB", delimiter: str | bytes = "\n", compression: str | None = "infer", spark: SparkSession | None = None) -> Array:
-    """A string for each part between delimiters. blocksize: how much of a file a task reads, for this session."""
+def from_text(source: Any, blocksize: Any = None, delimiter: str | bytes = "\n", compression: str | None = "infer", spark: SparkSession | None = None) -> Array:
+    """A string for each part between delimiters. blocksize: how much of a file a task reads (such as "64 MiB"); Spark
+    has one such setting for a session, so that it holds for all files from then on."""
     spark = _spark(spark)
     if isinstance(delimiter, bytes):
         delimiter = delimiter.decode()
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(_bytes(blocksize)))
+    if blocksize is not None:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(_bytes(blocksize)))
     df = _lines(_paths(source), compression, delimiter, spark, whole=False)
     return Array(Frame(df, ("__rt_file", "__rt_block", "__rt_at")), Leaf(F.col("value"), 0, (), T.StringType()))
 
