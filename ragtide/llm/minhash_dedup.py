@@ -10,8 +10,7 @@ How links are found without pairs of a whole group: equal sets fall into one cla
 Class representatives that share a band key are compared with the least of that bucket (a star, linear in its size);
 what those confirmed links join is one component. Only buckets that still hold several components are looked at again,
 in blocks of rows dealt to separate tasks, which compare signatures and then whole sets and give back no more links than
-are needed to join what belongs together. Signatures alone decide first which rows of a block could be linked to another
-component; only these get their whole sets. Bands: 24 of 5 minima, so that a pair just at 0.85 is missed with a
+are needed to join what belongs together. Bands: 24 of 5 minima, so that a pair just at 0.85 is missed with a
 probability under 1e-6 (at 0.8: 1e-4; at 0.9: 1e-8).
 """
 
@@ -84,8 +83,8 @@ def _sketch(words: int):
             for flat, first in shingle_sets(texts, words):
                 size = np.diff(first)
                 rows = len(size)
-                sums = np.concatenate([[0], np.cumsum(mix(flat ^ U(0x5851F42D4C957F2D)))]).astype(U)
-                other = np.concatenate([[0], np.cumsum(mix(flat + U(0x14057B7EF767814F)))]).astype(U)
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(flat ^ U(0x5851F42D4C957F2D)))])
+                other = np.concatenate([np.zeros(1, U), np.cumsum(mix(flat + U(0x14057B7EF767814F)))])
                 sig = signatures(flat, first)
                 keys = grams_of_bands(sig)
                 yield pa.RecordBatch.from_arrays(
@@ -184,38 +183,12 @@ def join_block(ids: list, comps: list, sigs: np.ndarray, sets: list[bytes], side
     return links
 
 
-def could_link(comps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, side: np.ndarray, two: bool, percent: int) -> np.ndarray:
-    """Rows of a block that may be linked to a row of another component, by sizes and signatures."""
-    out = np.zeros(len(comps), bool)
-    for i in range(len(comps)):
-        fits = (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-        if two:
-            fits &= side != side[i]
-        at = np.flatnonzero(fits[i + 1 :]) + i + 1
-        at = at[(sigs[at] == sigs[i]).sum(axis=1) >= least_shared(percent)]
-        if len(at):
-            out[i] = out[at] = True
-    return out
-
-
-def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    two = bool((pdf["b1"] != pdf["b2"]).iloc[0])
-    return sig, (pdf["block"] == pdf["b2"]).to_numpy() if two else np.zeros(len(pdf), bool), two
-
-
-def _block_rows(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, side, two = _sides(pdf)
-        return pdf[could_link(pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(), sig, side, two, percent)]
-
-    return run
-
-
 def _block_links(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        sig, side, two = _sides(pdf)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        two = bool((pdf["b1"] != pdf["b2"]).iloc[0])
+        side = (pdf["block"] == pdf["b2"]).to_numpy() if two else np.zeros(len(pdf), bool)
         links = join_block(pdf["id"].tolist(), pdf["comp"].tolist(), sig, pdf["grams"].tolist(), side, two, percent)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
@@ -274,23 +247,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     comp = store.put(components(links, store, "a"), "comp")
     # Buckets that still hold several components.
     named = live.join(comp, live["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    apart = named.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2"),
+    ).where("lo <> hi")
+    # Of buckets with the same members, which several bands give, one is enough.
+    apart = apart.groupBy("n", "m1", "m2").agg(F.min("key").alias("key"))
     rest = store.put(named.join(apart.select("key", "n"), "key"), "rest")
     if not rest.isEmpty():
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = rest.join(sig, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "key", "id", "comp", "n_shingles", "sig", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")
-        )
-        near = store.put(dealt.groupBy("key", "b1", "b2").applyInPandas(_block_rows(percent), dealt.schema), "near")
-        ids = near.select("id").distinct()
+        ids = rest.select("id").distinct()
         more = with_sets(ids.join(sets.select("id"), "id", "left_anti"), "more")
-        known = sets.join(ids, "id", "left_semi").union(more)
-        found = near.join(known, "id").groupBy("key", "b1", "b2").applyInPandas(_block_links(percent), "u long, v long")
+        known = sets.join(ids, "id", "left_semi").union(more).join(sig.select("id", "sig"), "id")
+        dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "key", "id", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")
+        )
+        found = dealt.join(known, "id").groupBy("key", "b1", "b2").applyInPandas(_block_links(percent), "u long, v long")
         found = store.put(found.distinct(), "found")
         if not found.isEmpty():
             comp = store.put(components(links.union(found), store, "b"), "comp2")
-        store.drop("more", "near", "found")
+        store.drop("more", "found")
     store.drop("live", "pairs", "sets", "rest", "reps")
     out = slim.join(comp, slim["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
