@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ragtide.llm._text import chunks, utf8
 
 RATE, UNIT = 8000, 64
+#: What a task handles at once: bytes of payload (or one payload) to be stored, rows to be read back.
+CHUNK_BYTES, ROWS = 1 << 19, 256
 
 
 def _mu_table() -> np.ndarray:
@@ -154,7 +156,7 @@ def store_audio(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = utf8(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_BYTES):
                 rows = _store(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *rows.columns], ["id", *rows.schema.names])
 
@@ -166,7 +168,7 @@ def read_audio(stored: DataFrame) -> DataFrame:
     """Of rows of store_audio(): lengths, digests and checksums of the bytes read back from media and pcm."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             ids, n, media, pcm, feature = batch.columns
             media, pcm = media.to_pylist(), pcm.to_pylist()
             read = [read_wav(m)[2] for m in media]
