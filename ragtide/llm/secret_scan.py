@@ -4,7 +4,7 @@ Base kinds, leftmost without overlap, failing matches dropped: assign (a name su
 characters or more), access (AKIA and 14 or more capitals or digits), hex (16 or more of 0-9a-f). Their spans are whole
 matches, in code points, the end exclusive.
 
-Kind random: a token of 20 to 4096 characters of an encoding, inferred from its characters (hex, base32, base64 with its
+Kind random: a token of 20 characters or more of an encoding, inferred from its characters (hex, base32, base64 with its
 URL form), that three tests do not tell from uniform symbols: chi-squared over the alphabet, the number of runs above
 and below the middle, and the correlation of neighbours. Each is turned into a normal deviate whose tolerance is
 Bonferroni-corrected. The discovery is "not ordinary text": for each token, the chance that text with the corpus's own
@@ -29,9 +29,11 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*"
 
-#: Longest token tested, false discovery rate, and deviates beyond which a test rejects.
-LONGEST, RATE, REJECT = 4096, 0.001, 3.2
+#: False discovery rate, and deviates beyond which a test rejects.
+RATE, REJECT = 0.001, 3.2
 BINS = 512
+#: Symbols of a token that are turned into an array of numbers at once.
+PIECE = 4096
 
 _ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -70,21 +72,26 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tokens(df: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
-    """A row for each token to be tested: id columns, token, start, encoding, alphabet size, symbols (0-based places)."""
+    """A row for each token to be tested: id columns, token, start, encoding, alphabet size, plain (its
+    symbols as the alphabet writes them), n (their number)."""
     found = df.select(*id_cols, F.explode(located(text, TOKEN)).alias("t")).select(
         *id_cols, F.rtrim(F.col("t.text"), F.lit("=")).alias("token"), F.col("t.start").alias("start")
-    ).where(f"char_length(token) BETWEEN 20 AND {LONGEST}")
+    ).where("char_length(token) >= 20")
     enc = F.expr("CASE WHEN token RLIKE '^[0-9a-f]+$' THEN 'hex' WHEN token RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END")
-    # Symbols' places in the alphabet, by translate to their base-64 order: the URL form's - and _ count as + and /.
-    places = "transform(split(token, ''), c -> CAST(CASE enc WHEN 'hex' THEN instr('{hex}', c) WHEN 'base32' THEN instr('{base32}', c) ELSE instr('{base64}', translate(c, '-_', '+/')) END - 1 AS INT))".format(**_ALPHABETS)
     return (
         found.withColumn("enc", enc)
         .withColumn("k", F.expr("CASE enc WHEN 'hex' THEN 16 WHEN 'base32' THEN 32 ELSE 64 END"))
-        .withColumn("sym", F.expr(places))
-        .withColumn("n", F.size("sym"))
+        # The URL form's - and _ count as + and /.
+        .withColumn("plain", F.translate("token", "-_", "+/"))
+        .withColumn("n", F.char_length("token"))
     )
 
 
+def _by_enc(sql) -> str:
+    """CASE with the SQL for each alphabet."""
+    return "CASE enc " + " ".join(f"WHEN '{enc}' THEN {sql(a)}" for enc, a in _ALPHABETS.items()) + " END"
+
+
 def _normal_tail(z: str) -> str:
     """P(Z < z) in SQL, by the logistic form of the normal distribution's tail (error below 2e-4)."""
     return f"1D / (1D + exp(greatest(-700D, least(700D, -(1.5976D * ({z}) + 0.070565992D * pow({z}, 3D))))))"
@@ -92,12 +99,21 @@ def _normal_tail(z: str) -> str:
 
 def battery(toks: DataFrame) -> DataFrame:
     """With the tests' deviates z_chi, z_runs, z_serial and chi (the chi-squared statistic)."""
-    counts = "aggregate(sym, array_repeat(0, k), (a, s) -> transform(a, (x, i) -> IF(i = s, x + 1, x)))"
-    high = "aggregate(sym, 0, (a, s) -> a + IF(2 * s >= k, 1, 0))"
-    turns = "aggregate(transform(slice(sym, 2, n), (s, i) -> IF((2 * s >= k) <> (2 * sym[i] >= k), 1, 0)), 0, (a, s) -> a + s)"
-    serial = "aggregate(transform(slice(sym, 2, n), (s, i) -> (s - (k - 1) / 2D) * (sym[i] - (k - 1) / 2D)), 0D, (a, s) -> a + s)"
+    # Lengths without each symbol, and strings of 0 and 1 for the lower and upper half of the alphabet, keep long tokens cheap.
+    counts = _by_enc(lambda a: "array(" + ", ".join(f"n - octet_length(replace(plain, '{c}', ''))" for c in a) + ")")
+    halves = _by_enc(lambda a: f"translate(plain, '{a}', '{'0' * (len(a) // 2) + '1' * (len(a) // 2)}')")
+    high = "n - octet_length(replace(halves, '1', ''))"
+    turns = "(2 * n - octet_length(replace(halves, '01', '')) - octet_length(replace(halves, '10', ''))) div 2"
+    # Pieces of bounded size, each with the first symbol of the next one.
+    pieces = f"regexp_extract_all(plain, '.{{1,{PIECE}}}', 0)"
+    places = "transform(split(x, ''), c -> {} - 1)".format(_by_enc(lambda a: f"instr('{a}', c)"))
+    products = "aggregate(transform(slice(v, 2, size(v)), (s, i) -> (s - (k - 1) / 2D) * (v[i] - (k - 1) / 2D)), 0D, (a, s) -> a + s)"
+    serial = f"""aggregate(transform(pieces, (p, i) -> transform(array(concat(p, substring(coalesce(get(pieces, i + 1), ''), 1, 1))),
+      x -> transform(array({places}), v -> {products})[0])[0]), 0D, (a, s) -> a + s)"""
     return (
         toks.withColumn("counts", F.expr(counts))
+        .withColumn("halves", F.expr(halves))
+        .withColumn("pieces", F.expr(pieces))
         .withColumn("chi", F.expr("aggregate(counts, 0D, (a, c) -> a + pow(c - n / CAST(k AS DOUBLE), 2D)) * k / n"))
         .withColumn("z_chi", F.expr("(pow(chi / (k - 1), 1D / 3) - (1 - 2D / (9 * (k - 1)))) / sqrt(2D / (9 * (k - 1)))"))
         .withColumn("hi", F.expr(high))
@@ -105,7 +121,7 @@ def battery(toks: DataFrame) -> DataFrame:
         .withColumn("mu", F.expr("1 + 2D * hi * (n - hi) / n"))
         .withColumn("z_runs", F.expr("CASE WHEN hi = 0 OR hi = n THEN 99D ELSE (runs - mu) / sqrt(greatest(1e-9D, (mu - 1) * (mu - 2) / (n - 1))) END"))
         .withColumn("z_serial", F.expr(f"{serial} / ((k * CAST(k AS DOUBLE) - 1) / 12) / sqrt(n - 1D)"))
-        .drop("counts", "hi", "runs", "mu")
+        .drop("counts", "halves", "pieces", "hi", "runs", "mu")
     )
 
 
@@ -114,7 +130,7 @@ def discoveries(tested: DataFrame, background: DataFrame) -> DataFrame:
     ordinary text raises the chi-squared statistic a symbol, and its variance a symbol."""
     p = _normal_tail("(chi - (k - 1) - n * d) / sqrt(2D * (k - 1) + n * v)")
     scored = tested.join(F.broadcast(background), "enc", "left").withColumn("p", F.expr(f"CASE WHEN d IS NULL THEN 1D ELSE {p} END"))
-    # Classes by length double: 20-39, 40-79, ... Bins by the logarithm of p; at most 8 * BINS * 3 rows come of it.
+    # Classes by length double: 20-39, 40-79, ... Bins by the logarithm of p; at most 27 * BINS * 3 rows come of it.
     scored = scored.withColumn("len_class", F.expr("CAST(floor(log2(n / 20D)) AS INT)")).withColumn("bin", F.expr(f"CAST(least({BINS - 1}, floor(-8 * ln(greatest(p, 1e-27D)))) AS INT)"))
     hist = scored.groupBy("enc", "len_class", "bin").agg(F.count("*").alias("c"))
     cum = hist.selectExpr(

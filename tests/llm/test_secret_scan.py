@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -55,6 +56,47 @@ def test_random_tokens_are_found_and_words_are_not(documents):
         assert f"random:{at}:{at + 64}" in spans
 
 
+def deviates(token, alphabet):
+    """Chi-squared statistic and the runs' and neighbours' deviates, symbol by symbol."""
+    v, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    chi = sum((v.count(x) - n / k) ** 2 for x in range(k)) * k / n
+    high = [2 * x >= k for x in v]
+    hi, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mu = 1 + 2 * hi * (n - hi) / n
+    z_runs = 99 if hi in (0, n) else (runs - mu) / math.sqrt(max(1e-9, (mu - 1) * (mu - 2) / (n - 1)))
+    serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(v, v[1:]))
+    return chi, z_runs, serial / ((k * k - 1) / 12) / math.sqrt(n - 1)
+
+
+def test_battery_at_every_length(spark):
+    r = random.Random(7)
+    hexa, b32, b64 = s._ALPHABETS["hex"], s._ALPHABETS["base32"], s._ALPHABETS["base64"]
+    rows = []
+    for n in (20, 21, 64, 4095, 4096, 4097, 8191, 8192, 8193, 20_001):
+        rows += [("".join(r.choice(a) for _ in range(n)), a) for a in (hexa, b32, b64)]
+    rows += [("0" * 5000, hexa), ("08" * 2500, hexa), ("ab/+" * 3000, b64), ("f" * 4097, hexa)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id long, text string")
+    got = {x["id"]: x for x in s.battery(s.tokens(df, ["id"])).collect()}
+    assert len(got) == len(rows)
+    for i, (t, a) in enumerate(rows):
+        assert (got[i]["n"], got[i]["k"]) == (len(t), len(a))
+        for x, y in zip((got[i]["chi"], got[i]["z_runs"], got[i]["z_serial"]), deviates(t, a)):
+            assert math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_long_random_tokens_are_found(documents):
+    r = random.Random(11)
+    words = ["alpha", "beta", "gamma", "Delta", "Epsilon 12", "internationalisation_framework_module", "some/path/to/a/file/in/the/tree"]
+    # Ordinary text has to outweigh the tokens: the background is counted over all texts.
+    rows, want = [(i, " ".join(r.choice(words) for _ in range(1000))) for i in range(100)], {}
+    for i, (n, a) in enumerate([(4096, "base64"), (4097, "base64"), (6000, "hex"), (50_000, "base64"), (300_000, "base64"), (40_000, "hex")], 200):
+        rows.append((i, "key " + "".join(r.choice(s._ALPHABETS[a]) for _ in range(n)) + " end"))
+        want[i] = f"random:4:{4 + n}"
+    rows += [(300, "some/path/to/a/file/in/the/tree/" * 1000)]
+    got = {x["id"]: x["spans"] for x in s.find_secrets(documents(rows)).collect()}
+    assert {i: [x for x in spans.split(",") if x.startswith("random:")] for i, spans in got.items() if "random:" in spans} == {i: [x] for i, x in want.items()}
+
+
 def test_query(spark, sf_dir):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.QUERIES["op5_secrets"](spark, sf_dir).collect():
