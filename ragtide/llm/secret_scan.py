@@ -4,8 +4,8 @@ Base kinds, leftmost without overlap, failing matches dropped: assign (a name su
 characters or more), access (AKIA and 14 or more capitals or digits), hex (16 or more of 0-9a-f). Their spans are whole
 matches, in code points, the end exclusive.
 
-Kind random: a token of 20 characters or more of an encoding, inferred from its characters (hex, base32, base64 with its
-URL form), that three tests do not tell from uniform symbols: chi-squared over the alphabet, the number of runs above
+Kind random: a token of 20 characters or more of an encoding, inferred from its characters (hex of either case, upper-case base32,
+base64 with its URL form), that three tests do not tell from uniform symbols: chi-squared over the alphabet, the number of runs above
 and below the middle, and the correlation of neighbours. Each is turned into a normal deviate whose tolerance is
 Bonferroni-corrected. The discovery is "not ordinary text": for each token, the chance that text with the corpus's own
 character frequencies would look as even as it does, from the mean and deviation of the chi-squared statistic at that
@@ -77,12 +77,12 @@ def tokens(df: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
     found = df.select(*id_cols, F.explode(located(text, TOKEN)).alias("t")).select(
         *id_cols, F.rtrim(F.col("t.text"), F.lit("=")).alias("token"), F.col("t.start").alias("start")
     ).where("char_length(token) >= 20")
-    enc = F.expr("CASE WHEN token RLIKE '^[0-9a-f]+$' THEN 'hex' WHEN token RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END")
+    enc = F.expr("CASE WHEN token RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 'hex' WHEN token RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END")
     return (
         found.withColumn("enc", enc)
         .withColumn("k", F.expr("CASE enc WHEN 'hex' THEN 16 WHEN 'base32' THEN 32 ELSE 64 END"))
-        # The URL form's - and _ count as + and /.
-        .withColumn("plain", F.translate("token", "-_", "+/"))
+        # Upper-case hex counts as lower-case; the URL form's - and _ as + and /.
+        .withColumn("plain", F.expr("CASE enc WHEN 'hex' THEN lower(token) ELSE translate(token, '-_', '+/') END"))
         .withColumn("n", F.char_length("token"))
     )
 

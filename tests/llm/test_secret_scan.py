@@ -97,6 +97,19 @@ def test_long_random_tokens_are_found(documents):
     assert {i: [x for x in spans.split(",") if x.startswith("random:")] for i, spans in got.items() if "random:" in spans} == {i: [x] for i, x in want.items()}
 
 
+def test_upper_case_hex_is_hex(spark, documents):
+    r = random.Random(13)
+    words = ["alpha", "beta", "gamma", "Delta", "Epsilon 12", "some/path/to/a/file/in/the/tree"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(100))) for i in range(100)]
+    keys = {200 + i: "".join(r.choice("0123456789ABCDEF") for _ in range(64)) for i in range(20)}
+    rows += [(i, f"key {t} end") for i, t in keys.items()]
+    df = documents(rows)
+    encs = {x["id"]: (x["enc"], x["plain"]) for x in s.tokens(df.selectExpr("doc_id AS id", "text"), ["id"]).where("id >= 200").collect()}
+    assert encs == {i: ("hex", t.lower()) for i, t in keys.items()}
+    found = {x["id"] for x in s.find_secrets(df).collect() if "random:4:68" in x["spans"]}
+    assert found <= set(keys) and len(found) >= 18
+
+
 def test_query(spark, sf_dir):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.QUERIES["op5_secrets"](spark, sf_dir).collect():
