@@ -15,10 +15,14 @@ BUCKETS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a folder made once for this session."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local master gets a folder made once for the session; on
+    a cluster executors could not see such a folder, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="ragtide-")
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
+        path = f"file://{tempfile.mkdtemp(prefix='ragtide-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -36,7 +40,7 @@ def narrowed(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Writes tables under one fresh folder; drop() and drop_all() delete what no later step reads."""
+    """Writes tables under one fresh folder; drop() deletes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark

@@ -9,8 +9,11 @@ base64 with its URL form), that three tests do not tell from uniform symbols: ch
 and below the middle, and the correlation of neighbours. Each is turned into a normal deviate whose tolerance is
 Bonferroni-corrected. The discovery is "not ordinary text": for each token, the chance that text with the corpus's own
 character frequencies would look as even as it does, from the mean and deviation of the chi-squared statistic at that
-length. These chances are ranked within classes of length, by a histogram of fixed size, and Benjamini and Hochberg's
-rule bounds the share of false discoveries in each class.
+length. Candidate tokens are left out of these frequencies, so that random ones, however many, don't pass for ordinary
+text. The chances are kept as logarithms, from a tail formula whose relative error is below 2e-7; they are ranked within
+classes of length, by a histogram of fixed size, and Benjamini and Hochberg's rule bounds the share of false discoveries
+in each class. Where no text but candidates has an encoding's symbols, nothing is known of ordinary text and no token of
+that encoding is found. Tokens are cut out of the texts once and stored in the shared folder.
 
 A null text counts as empty and gives no spans; rows may repeat; further columns are not touched; an empty table is
 allowed. A token with too few distinct symbols fails the tests; ties of the chances get the same decision.
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragtide.llm._store import Store
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
@@ -92,9 +97,16 @@ def _by_enc(sql) -> str:
     return "CASE enc " + " ".join(f"WHEN '{enc}' THEN {sql(a)}" for enc, a in _ALPHABETS.items()) + " END"
 
 
-def _normal_tail(z: str) -> str:
-    """P(Z < z) in SQL, by the logistic form of the normal distribution's tail (error below 2e-4)."""
-    return f"1D / (1D + exp(greatest(-700D, least(700D, -(1.5976D * ({z}) + 0.070565992D * pow({z}, 3D))))))"
+def _log_normal_tail(z: str) -> str:
+    """ln P(Z < z) in SQL: for z < 0 a Chebyshev fit of the complementary error function (relative error below 1.2e-7 at every
+    z), for z >= 0 from the other tail."""
+    # The coefficients of the fit, from the constant on.
+    fit = "-1.26551223 1.00002368 0.37409196 0.09678418 -0.18628806 0.27886807 -1.13520398 1.48851587 -0.82215223 0.17087277"
+    sum_ = "0D"
+    for c in reversed(fit.split()):
+        sum_ = f"({c}D + t * {sum_})"
+    lower = f"transform(array(1D / (1D + 0.5D * (abs({z}) / sqrt(2D)))), t -> ln(0.5D) + ln(t) - ({z}) * ({z}) / 2D + {sum_})[0]"
+    return f"IF(({z}) < 0, {lower}, ln(1D - exp({lower})))"
 
 
 def battery(toks: DataFrame) -> DataFrame:
@@ -128,10 +140,10 @@ def battery(toks: DataFrame) -> DataFrame:
 def discoveries(tested: DataFrame, background: DataFrame) -> DataFrame:
     """tested with found: whether the token counts as random. background: enc, d, v (at most three rows): by how much
     ordinary text raises the chi-squared statistic a symbol, and its variance a symbol."""
-    p = _normal_tail("(chi - (k - 1) - n * d) / sqrt(2D * (k - 1) + n * v)")
-    scored = tested.join(F.broadcast(background), "enc", "left").withColumn("p", F.expr(f"CASE WHEN d IS NULL THEN 1D ELSE {p} END"))
+    scored = tested.join(F.broadcast(background), "enc", "left").withColumn("z", F.expr("(chi - (k - 1) - n * d) / sqrt(2D * (k - 1) + n * v)"))
+    scored = scored.withColumn("ln_p", F.expr(f"CASE WHEN d IS NULL THEN 0D ELSE {_log_normal_tail('z')} END"))
     # Classes by length double: 20-39, 40-79, ... Bins by the logarithm of p; at most 27 * BINS * 3 rows come of it.
-    scored = scored.withColumn("len_class", F.expr("CAST(floor(log2(n / 20D)) AS INT)")).withColumn("bin", F.expr(f"CAST(least({BINS - 1}, floor(-8 * ln(greatest(p, 1e-27D)))) AS INT)"))
+    scored = scored.withColumn("len_class", F.expr("CAST(floor(log2(n / 20D)) AS INT)")).withColumn("bin", F.expr(f"CAST(least({BINS - 1}, floor(-8 * ln_p)) AS INT)"))
     hist = scored.groupBy("enc", "len_class", "bin").agg(F.count("*").alias("c"))
     cum = hist.selectExpr(
         "*",
@@ -144,11 +156,16 @@ def discoveries(tested: DataFrame, background: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(cut), ["enc", "len_class"], "left").withColumn("found", F.coalesce((F.col("bin") >= F.col("cut")) & even, F.lit(False)))
 
 
-def background(docs: DataFrame, text: str = "text") -> DataFrame:
-    """d and v for each encoding (see discoveries()), from the frequencies of its symbols in all texts."""
-    seen = docs.select(F.explode(F.split(text, "")).alias("c")).groupBy("c").agg(F.count("*").cast("double").alias("x"))
+def background(docs: DataFrame, toks: DataFrame, text: str = "text") -> DataFrame:
+    """d and v for each encoding (see discoveries()), from the frequencies of its symbols in all texts, those of candidate
+    tokens (toks: token) taken off."""
+
+    def symbols(df: DataFrame, column: str, sign: int) -> DataFrame:
+        return df.select(F.explode(F.split(column, "")).alias("c")).groupBy("c").agg((sign * F.count("*")).cast("double").alias("x"))
+
+    seen = symbols(docs, text, 1).union(symbols(toks, "token", -1)).groupBy("c").agg(F.sum("x").alias("x"))
     cells = ", ".join(f"struct('{enc}' AS enc, {len(a)}D AS k, '{a}' AS a)" for enc, a in _ALPHABETS.items())
-    own = seen.withColumn("e", F.expr(f"explode(array({cells}))")).where("contains(e.a, c)")
+    own = seen.where("x > 0").withColumn("e", F.expr(f"explode(array({cells}))")).where("contains(e.a, c)")
     sums = own.groupBy("e.enc", "e.k").agg(F.sum("x").alias("s1"), F.sum(F.pow("x", F.lit(2.0))).alias("s2"), F.sum(F.pow("x", F.lit(3.0))).alias("s3"))
     return sums.selectExpr("enc", "k * s2 / (s1 * s1) - 1 AS d", "4 * k * k * (s3 / pow(s1, 3D) - pow(s2 / (s1 * s1), 2D)) AS v")
 
@@ -159,7 +176,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows are told apart by id and text, so rows that repeat get the same result."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = src.withColumn("th", F.xxhash64("text"))
-    found = discoveries(battery(tokens(keyed, ["id", "th"])), background(src)).where("found")
+    toks = Store(docs.sparkSession, "secrets").put(tokens(keyed, ["id", "th"]), "tokens")
+    found = discoveries(battery(toks), background(src, toks)).where("found")
     # The random tokens of one document: bounded by its own length.
     extra = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", F.lit(3).alias("kind"), (F.col("start") + F.char_length("token")).alias("end"))).alias("extra"))
     own = base_spans(keyed).drop("text")

@@ -87,7 +87,6 @@ def test_battery_at_every_length(spark):
 def test_long_random_tokens_are_found(documents):
     r = random.Random(11)
     words = ["alpha", "beta", "gamma", "Delta", "Epsilon 12", "internationalisation_framework_module", "some/path/to/a/file/in/the/tree"]
-    # Ordinary text has to outweigh the tokens: the background is counted over all texts.
     rows, want = [(i, " ".join(r.choice(words) for _ in range(1000))) for i in range(100)], {}
     for i, (n, a) in enumerate([(4096, "base64"), (4097, "base64"), (6000, "hex"), (50_000, "base64"), (300_000, "base64"), (40_000, "hex")], 200):
         rows.append((i, "key " + "".join(r.choice(s._ALPHABETS[a]) for _ in range(n)) + " end"))
@@ -97,6 +96,96 @@ def test_long_random_tokens_are_found(documents):
     assert {i: [x for x in spans.split(",") if x.startswith("random:")] for i, spans in got.items() if "random:" in spans} == {i: [x] for i, x in want.items()}
 
 
+def encoding(token):
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        return "hex", token.lower()
+    return ("base32" if re.fullmatch("[A-Z2-7]+", token) else "base64"), token.replace("-", "+").replace("_", "/")
+
+
+def log_p(z):
+    return math.log(0.5 * math.erfc(-z / math.sqrt(2))) if z > -37 else -z * z / 2
+
+
+def brute_random(rows):
+    """(row, start, end) of the tokens found, by the definitions; and of those that exact chances would leave."""
+    toks, seen = [], {}
+    for i, (_, text) in enumerate(rows):
+        for c in text or "":
+            seen[c] = seen.get(c, 0) + 1
+        for m in re.finditer("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*", text or ""):
+            if len(t := m[0].rstrip("=")) >= 20:
+                toks.append((i, m.start(), t, *encoding(t)))
+                for c in t:
+                    seen[c] -= 1
+    model = {}
+    for enc, a in s._ALPHABETS.items():
+        if total := sum(seen.get(c, 0) for c in a):
+            p, k = [seen.get(c, 0) / total for c in a], len(a)
+            model[enc] = k * sum(x**2 for x in p) - 1, 4 * k * k * (sum(x**3 for x in p) - sum(x**2 for x in p) ** 2)
+    by_class = {}
+    for i, start, t, enc, plain in toks:
+        k, n = len(s._ALPHABETS[enc]), len(t)
+        chi, z_runs, z_serial = deviates(plain, s._ALPHABETS[enc])
+        z_chi = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+        even = -s.REJECT - 1 <= z_chi <= s.REJECT and abs(z_runs) <= s.REJECT and abs(z_serial) <= s.REJECT
+        d, v = model.get(enc, (None, None))
+        ln_p = 0.0 if d is None else log_p((chi - (k - 1) - n * d) / math.sqrt(2 * (k - 1) + n * v))
+        by_class.setdefault((enc, int(math.log2(n / 20))), []).append((ln_p, even, (i, start, start + n)))
+    found, exact = set(), set()
+    for group in by_class.values():
+        m = len(group)
+        bins = [min(s.BINS - 1, math.floor(-8 * x)) for x, *_ in group]
+        cuts = [b for b in bins if math.exp(-b / 8) <= s.RATE * sum(c >= b for c in bins) / m]
+        found |= {at for (_, even, at), b in zip(group, bins) if cuts and even and b >= min(cuts)}
+        ranked = sorted(x for x, *_ in group)
+        top = max((x for j, x in enumerate(ranked, 1) if x <= math.log(s.RATE * j / m)), default=-math.inf)
+        exact |= {at for x, even, at in group if even and x <= top}
+    return found, exact
+
+
+def test_random_spans_against_brute_force(documents):
+    r = random.Random(17)
+    words = ["alpha", "Beta", "gamma", "delta 12", "EPSILON", "internationalisation_framework_module", "some/path/to/a/file/in/the/tree", "deadbeefdeadbeefdeadbeef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "é"]
+    rows = []
+    for i in range(250):
+        text = [r.choice(words) for _ in range(30)]
+        for _ in range(r.choice([0, 0, 1, 3])):
+            a = r.choice([*s._ALPHABETS.values(), "0123456789ABCDEF", "aeioubcdrstln", "abcdefghijklmnopqrstuvwxyz0123456789"])
+            text.insert(r.randrange(30), "".join(r.choice(a) for _ in range(r.choice([19, 20, 24, 32, 40, 64, 100, 700]))) + r.choice(["", "=", "=="]))
+        rows.append((i, " ".join(text)))
+    rows += [(900, None), (901, "")]
+    found, exact = brute_random(rows)
+    got = set()
+    for x in s.find_secrets(documents(rows)).collect():
+        got |= {(i, int(a), int(b)) for i, row in enumerate(rows) if row[0] == x["id"] for k, a, b in (y.split(":") for y in x["spans"].split(",") if y) if k == "random"}
+    assert got == found <= exact and len(found) > 60 and len(exact - found) < 10
+
+
+def test_normal_tail(spark):
+    zs = [-30.0, -12.5, -8.0, -6.0, -5.0, -3.2, -1.0, -0.01, 0.0, 0.5, 3.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double").selectExpr("z", f"{s._log_normal_tail('z')} AS p")
+    for z, p in df.collect():
+        assert math.isclose(p, log_p(z), rel_tol=1e-6, abs_tol=2e-7), z
+
+
+def test_blobs_do_not_mask_keys(documents):
+    r = random.Random(19)
+    b64 = s._ALPHABETS["base64"]
+    words = ["alpha", "beta", "gamma", "Delta", "Epsilon 12", "some/path/to/a/file/in/the/tree"]
+    rows, want = [], set()
+    for i in range(300):
+        text = " ".join(r.choice(words) for _ in range(40))
+        for j, n in ((0, 64), (1, 4000)):
+            if i % 10 == j:
+                want.add((i, n))
+                text += " " + "".join(r.choice(b64) for _ in range(n))
+        rows.append((i, text))
+    got = set()
+    for x in s.find_secrets(documents(rows)).collect():
+        got |= {(x["id"], int(b) - int(a)) for k, a, b in (y.split(":") for y in x["spans"].split(",") if y) if k == "random"}
+    assert got <= want and len(got) >= 57
+
+
 def test_upper_case_hex_is_hex(spark, documents):
     r = random.Random(13)
     words = ["alpha", "beta", "gamma", "Delta", "Epsilon 12", "some/path/to/a/file/in/the/tree"]
