@@ -1,6 +1,7 @@
-"""Personal data by anchor expansion: one Aho-Corasick pass finds at-signs, schemes and identifier cues; local parsers
-then expand each anchor to its bounds and validate it. Every parser reads forward or back over a run once, so the time
-is linear in the text.
+"""Personal data by anchor expansion: one Aho-Corasick pass finds at-signs, schemes and identifier cues (digits, digits
+with a dot, plus signs, and words such as IBAN); local parsers then expand each anchor to its bounds and validate it.
+An anchor inside what its kind's last match took is passed over, and every parser reads forward or back over a run a
+fixed number of times, so the time is linear in the text.
 
 Kinds, in order: email, ip, card, phone (their matches are those of the patterns in the module's tests, leftmost and
 without overlap, failing ones dropped); then url (a scheme and a host), iban (its check digits hold) and account (a cue
@@ -23,10 +24,11 @@ KINDS = (*BASE, "url", "iban", "account")
 
 _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_URL = re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=:-]++@)?([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"'{}|\\^`]*)?")
+_HOST = re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=:-]++@)?([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)(?::[0-9]{1,5})?")
+_PATH = re.compile(r"[/?#][^\s<>\"'{}|\\^`]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:[\x20]?(?:no\.?|number|nr\.?|#))?[\x20]?[:#=]?[\x20]?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.I)
 
@@ -40,6 +42,10 @@ _SCHEMES = [w for s in ("http://", "https://", "ftp://") for w in (s, s.upper(),
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
+    a.add_word("+", ("phone", 1))
+    for d in "0123456789":
+        a.add_word(d, ("card", 1))
+        a.add_word(d + ".", ("ip", 2))
     for w in _SCHEMES:
         a.add_word(w, ("url", len(w)))
     for w in _CUES:
@@ -70,19 +76,48 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), sorted."""
     global _anchors
     _anchors = _anchors or _automaton()
-    found, mail_end, url_end = [], 0, 0
+    found = []
+    mail_end = ip_end = card_end = phone_end = url_end = 0
     for last, (kind, size) in _anchors.iter(text):
-        if kind == "@":
+        if kind == "card":
+            if last >= card_end:
+                if not (m := _CARD.match(text, last)):
+                    card_end = last + 1
+                    continue
+                card_end = m.end()
+                if card_end - last >= 14:
+                    digits = m[0].translate(_LUHN)
+                    if 14 <= len(digits) <= 19 and luhn(digits):
+                        found.append((last, 2, card_end))
+        elif kind == "ip":
+            # The first part runs back over its digits.
+            start = last - 1
+            if start >= ip_end:
+                while start > ip_end and text[start - 1] in _DIGITS:
+                    start -= 1
+                if m := _IP.match(text, start):
+                    ip_end = m.end()
+                    if all(map(_small, m[0].split("."))):
+                        found.append((start, 1, ip_end))
+        elif kind == "@":
             # A local part runs back to the last character that can't be in it, or to the previous address.
             start = last
-            while start > mail_end and (text[start - 1] in _LOCAL):
+            while start > mail_end and text[start - 1] in _LOCAL:
                 start -= 1
             if start < last and (m := _DOMAIN.match(text, last + 1)):
                 found.append((start, 0, m.end()))
                 mail_end = m.end()
+        elif kind == "phone":
+            if last >= phone_end and (m := _PHONE.match(text, last)):
+                phone_end = m.end()
+                if 10 <= sum(c in _DIGITS for c in m[0]) <= 15:
+                    found.append((last, 3, phone_end))
         elif kind == "url":
-            if last + 1 > url_end and (m := _URL.match(text, last + 1)) and ("." in m[1] or m[1].lower() == "localhost"):
+            # The path is read only after a host that holds.
+            if last + 1 > url_end and (m := _HOST.match(text, last + 1)) and ("." in m[1] or m[1].lower() == "localhost"):
                 url_end = m.end()
+                if m := _PATH.match(text, url_end):
+                    url_end = m.end()
                 while text[url_end - 1] in ".,;:!?)'":
                     url_end -= 1
                 found.append((last + 1 - size, 4, url_end))
@@ -94,21 +129,10 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((at, 5, m.end()))
         elif m := _ACCOUNT.match(text, last + 1):
             found.append((m.start(1), 6, m.end(1)))
-    for m in _IP.finditer(text):
-        if all(map(_small, m[0].split("."))):
-            found.append((m.start(), 1, m.end()))
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 14:
-            digits = m[0].translate(_LUHN)
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                found.append((m.start(), 2, m.end()))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
-                found.append((m.start(), 3, m.end()))
     return sorted(set(found))
 
 
+_DIGITS = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 

@@ -54,6 +54,20 @@ def test_added_kinds():
     assert kinds("http://") == [] and kinds("") == []
 
 
+def test_time_is_linear():
+    import time
+
+    def took(text):
+        start = time.perf_counter()
+        pii.spans(text)
+        return time.perf_counter() - start
+
+    for part in ("http://x/", "http://x:y@", "a@", "@a.", "1.", "1.2.3.", "12", "1 ", "+1 ", "+", "iban ", "account 1", "x@y.z", "http://a.b/,"):
+        n = 40_000 // len(part)
+        few = min(took(part * n) for _ in range(2))
+        assert took(part * 8 * n) < 24 * few + 0.3, part
+
+
 def test_redaction():
     assert pii.redact("write a@b.org or 10.0.0.1") == "write <email> or <ip>"
     assert pii.redact(None) == ""
