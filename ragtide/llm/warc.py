@@ -7,7 +7,8 @@ a lost task only repeats its own archives. An archive holds about ARCHIVE_BYTES
 Rules. A record per row; a null payload counts as empty, a null address as an empty one. Of records with equal payloads
 of at least 100 bytes, those with the smallest id are responses and the others revisits of it; shorter payloads are all
 responses, and so are payloads whose ids are all null. A row with a null id is a revisit where its payload has an id
-elsewhere. Rows may repeat. An empty table gives no archives and no records.
+elsewhere. Rows may repeat; further columns, of whatever name, are not touched. An empty table gives no archives and no
+records. An archive that ends inside a gzip member or a record is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ragtide.llm._store import Store
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
+#: Repeated digests (40 bytes each) that are sent to all tasks.
+MAX_BROADCAST_ROWS = 200_000
 _DATE = "2000-01-01T00:00:00Z"
 _UNSAFE = re.compile(rb"[^\x21-\x7e]")
 INDEX = "array<struct<offset:long,length:long,record_id:string>>"
@@ -49,40 +52,58 @@ def record(page_id: int | None, url: bytes, payload: bytes, digest: str, refers_
 
 
 class RecordCutter:
-    """Cuts a stream of WARC bytes, fed in pieces, into whole records."""
+    """Cuts a stream of WARC bytes, fed in pieces, into whole records. Pieces are joined only once there are as many bytes
+    as the record at hand needs, or twice as many as were searched for its head, so the time is linear in the stream."""
 
     def __init__(self):
-        self.rest = b""
+        self.parts: list[bytes] = []
+        self.size = self.needed = 0
 
     def feed(self, piece: bytes) -> Iterator[bytes]:
-        self.rest += piece
-        at = 0
-        while (head := self.rest.find(b"\r\n\r\n", at)) >= 0:
-            m = re.search(rb"(?i)\r\nContent-Length:\s*(\d+)", self.rest[at : head + 2])
+        self.parts.append(piece)
+        self.size += len(piece)
+        if self.size >= self.needed:
+            yield from self._cut()
+
+    def _cut(self) -> Iterator[bytes]:
+        rest, at = b"".join(self.parts), 0
+        self.needed = 0
+        while (head := rest.find(b"\r\n\r\n", at)) >= 0:
+            m = re.search(rb"(?i)\r\nContent-Length:\s*(\d+)", rest[at : head + 2])
             if not m:
                 raise ValueError("a record without Content-Length")
             end = head + 8 + int(m[1])
-            if end > len(self.rest):
+            if end > len(rest):
+                self.needed = end - at
                 break
-            yield self.rest[at:end]
+            yield rest[at:end]
             at = end
-        self.rest = self.rest[at:]
+        self.parts = [rest[at:]]
+        self.size = len(rest) - at
+        self.needed = self.needed or 2 * self.size
+
+    def end(self) -> Iterator[bytes]:
+        """What the last pieces hold; an error if they end inside a record."""
+        yield from self._cut()
+        if b"".join(self.parts).strip():
+            raise ValueError("the archive ends inside a record")
 
 
 def inflate(archive: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, in pieces of about step."""
-    at, unzip = 0, zlib.decompressobj(31)
-    while at < len(archive) or unzip.unconsumed_tail:
-        feed = unzip.unconsumed_tail or archive[at : at + step]
-        at += 0 if unzip.unconsumed_tail else len(feed)
-        if out := unzip.decompress(feed, step):
-            yield out
-        if unzip.eof:
-            at -= len(unzip.unused_data)
-            if at < len(archive):
-                unzip = zlib.decompressobj(31)
-            else:
-                return
+    """The bytes of a gzip file of any number of members, in pieces of about step; an error if it ends inside a member."""
+    at = 0
+    while at < len(archive):
+        unzip = zlib.decompressobj(31)
+        while not unzip.eof:
+            feed = unzip.unconsumed_tail
+            if not feed:
+                feed = archive[at : at + step]
+                at += len(feed)
+            if out := unzip.decompress(feed, step):
+                yield out
+            elif not feed:
+                raise ValueError("the archive ends inside a gzip member")
+        at -= len(unzip.unused_data)
 
 
 def gzip_member(data: bytes, level: int = 4) -> bytes:
@@ -93,15 +114,18 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
 def normalise(archive: bytes) -> tuple[bytes, list[dict]]:
     """The archive with a gzip member for each record, and the side index of the members."""
     cutter, members, index, offset = RecordCutter(), [], [], 0
-    for piece in inflate(archive):
-        for rec in cutter.feed(piece):
-            member = gzip_member(rec)
-            name = re.search(rb"\r\nWARC-Record-ID: ([^\r]*)", rec)
-            index.append({"offset": offset, "length": len(member), "record_id": name[1].decode() if name else ""})
-            members.append(member)
-            offset += len(member)
-    if cutter.rest.strip():
-        raise ValueError("the archive ends inside a record")
+
+    def records() -> Iterator[bytes]:
+        for piece in inflate(archive):
+            yield from cutter.feed(piece)
+        yield from cutter.end()
+
+    for rec in records():
+        member = gzip_member(rec)
+        name = re.search(rb"\r\nWARC-Record-ID: ([^\r]*)", rec[: rec.find(b"\r\n\r\n") + 2])
+        index.append({"offset": offset, "length": len(member), "record_id": name[1].decode() if name else ""})
+        members.append(member)
+        offset += len(member)
     return b"".join(members), index
 
 
@@ -157,20 +181,27 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(archive) rows, each one gzip stream. pages: page_id, url, html and any further columns."""
+def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """(archive) rows, each one gzip stream. pages: page_id, url, html and any further columns.
+
+    Copies are found on digests alone. Digests that repeat are counted first: up to max_broadcast_rows of them go to all
+    tasks and no payload is moved; beyond that, a join deals payloads out by digest, and Spark splits its hot keys."""
     src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("binary"), F.col("html").cast("binary")).withColumn(
         "digest", F.sha2(F.coalesce("html", F.lit(b"")), 256)
     )
     twins = (
         src.where(F.octet_length("html") >= least_bytes)
-        .groupBy("digest")
+        .groupBy(F.unhex("digest").alias("twin"))
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "first")
+        .select("twin", "first")
     )
+    twins = Store(pages.sparkSession, "warc").put(twins, "twins")
+    if twins.count() <= max_broadcast_rows:
+        twins = F.broadcast(twins)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return src.join(twins, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write, "archive binary")
+    joined = src.join(twins, F.unhex("digest") == F.col("twin"), "left")
+    return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write, "archive binary")
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:

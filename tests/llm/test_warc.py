@@ -46,4 +46,37 @@ def test_pieces_of_any_size():
         cutter, got = warc.RecordCutter(), []
         for i in range(0, len(data), step):
             got += cutter.feed(data[i : i + step])
+        got += cutter.end()
         assert b"".join(got) == data and len(got) == 200
+
+
+def test_truncated_archives_are_errors():
+    recs = [warc.record(i, b"u", b"payload of some length %d" % i * 40, "d", None) for i in range(9)]
+    whole = gzip.compress(b"".join(recs))
+    for cut in (1, 4, 8, 9, 30, len(whole) // 2, len(whole) - 5):
+        with pytest.raises(ValueError):
+            warc.normalise(whole[:-cut])
+    members = b"".join(map(gzip.compress, recs))
+    with pytest.raises(ValueError):
+        warc.normalise(members[:-3])
+    assert warc.normalise(b"") == (b"", [])
+
+
+def test_time_is_linear_in_a_record():
+    import time
+
+    def took(n):
+        data, cutter = warc.record(1, b"u", b"z" * n, "d", None), warc.RecordCutter()
+        start = time.perf_counter()
+        got = [x for i in range(0, len(data), 1 << 14) for x in cutter.feed(data[i : i + (1 << 14)])]
+        assert len([*got, *cutter.end()]) == 1
+        return time.perf_counter() - start
+
+    few = min(took(2 << 20) for _ in range(3))
+    assert took(32 << 20) < 60 * few + 0.3
+
+
+def test_many_repeated_digests_are_joined(pages):
+    rows = [(i, "u", "copy of %d " % (i % 7) * 20, "clash", 0) for i in range(30)]
+    archives = warc.normalise_archives(warc.write_archives(pages(rows), max_broadcast_rows=2))
+    assert sorted((tuple(r) for r in warc.read_archives(archives).collect()), key=str) == brute(rows)
