@@ -311,6 +311,8 @@ def scratch(spark: SparkSession, what: str) -> str:
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base or tempfile.mkdtemp(prefix='ragtide-')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -415,3 +417,153 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _frame("order_lines", flagship, f"""{_ORDERS}, f AS (SELECT k, [z FOR z IN list_zip(q, p, d) IF z[3] > 0.05] AS z FROM o), g AS (SELECT k, [x[1] FOR x IN z] AS q, [x[2] FOR x IN z] AS p FROM f)
 SELECT k, CAST(len(q) AS BIGINT) AS n, list_max(p) AS top, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS at, CAST(coalesce(list_sum(q), 0) AS BIGINT) AS quantity, CAST(len(q) * (len(q) - 1) // 2 AS BIGINT) AS pairs,
 CAST(coalesce(list_sum(flatten([[q[i] * q[j] FOR j IN range(i + 1, len(q) + 1)] FOR i IN range(1, len(q) + 1)])), 0) AS BIGINT) AS product FROM g""")
+
+
+# Ways in and out by way of the driver's memory, over tables of fixed size.
+def _names(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_name").collect()]
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> list[int]:
+    return [int(r[0]) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_nationkey").collect()]
+
+
+_NATION = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation"
+
+
+def _numbered(a: rt.Array) -> DataFrame:
+    """Rows of a flat array with their numbers."""
+    return rt.zip({"k": rt.local_index(a, axis=0), "v": a}, depth_limit=1).to_spark()
+
+
+def _given(spark: SparkSession, values) -> DataFrame:
+    """Values from the driver, numbered."""
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"k bigint, v {'string' if values and isinstance(values[0], str) else 'bigint'}")
+
+
+def _through_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "text")
+    spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat(p_partkey, '|', p_name)").write.text(path)
+    a = rt.from_text(path, spark=spark)
+    return rt.zip({"v": rt.str.upper(a), "n": rt.str.length(a)}).to_spark()
+
+
+def _through_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut at another delimiter, in small blocks."""
+    path = scratch(spark, "text")
+    spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat(p_partkey, '|', p_name, '|')").write.option("lineSep", "|").text(path)
+    a = rt.from_text(path, blocksize="64 KiB", delimiter="|", spark=spark)
+    return rt.zip({"v": a[rt.str.length(a) > 0]}).to_spark()
+
+
+class _Named:
+    """A callable for a partition, which tasks call."""
+
+    def __init__(self, start: int):
+        self.start = start
+
+    def __call__(self) -> list[dict]:
+        return _squares(self.start)
+
+
+def _facts(name: str, fn: Callable[[SparkSession, str], list], sql: str) -> None:
+    """What an array says of itself: lines of text, numbered."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _given(spark, [str(x) for x in fn(spark, sf_dir)])
+
+    _frame(name, query, f"SELECT CAST(i - 1 AS BIGINT) AS k, l[i] AS v FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {sql} AS l))")
+
+
+_frame("from_text", _through_text, "SELECT upper(p_partkey || '|' || p_name) AS v, length(p_partkey || '|' || p_name) AS n FROM part")
+_frame("from_text_delimiter", _through_text_parts, "SELECT unnest([CAST(p_partkey AS VARCHAR), p_name]) AS v FROM part UNION ALL SELECT chr(10) AS v FROM part WHERE false")
+_frame("from_rows", lambda s, d: _numbered(rt.from_rows(_names(s, d), npartitions=4, spark=s)), "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name AS v FROM nation")
+_frame("from_delayed", lambda s, d: rt.from_delayed([_Named(k) for k in (0, 10, 20)], meta="struct<i:bigint,s:bigint>", spark=s).to_spark(), "SELECT i, i * i AS s FROM (SELECT CAST(unnest(range(30)) AS BIGINT) AS i)")
+_frame("from_numpy", lambda s, d: _numbered(rt.sum(rt.from_numpy(_pairs(s, d), chunks=6, spark=s), axis=1)), "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, CAST(n_nationkey * 11 AS BIGINT) AS v FROM nation")
+_frame("to_numpy", lambda s, d: _given(s, [int(x) for x in rt.to_numpy(_nations(s, d).k * 3)]), "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, CAST(n_nationkey * 3 AS BIGINT) AS v FROM nation")
+_frame("to_list", lambda s, d: _given(s, rt.to_list(rt.str.lower(_nations(s, d).name))), "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, lower(n_name) AS v FROM nation")
+_frame("to_bag", lambda s, d: _given(s, sorted(rt.to_bag(_nations(s, d).name))), "SELECT row_number() OVER (ORDER BY n_name) - 1 AS k, n_name AS v FROM nation")
+_frame("to_delayed", lambda s, d: _given(s, [x for part in rt.to_delayed(_nations(s, d).name.repartition(npartitions=3)) for x in part()]), "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name AS v FROM nation")
+_frame("compute", lambda s, d: _given(s, [r["name"] for r in _nations(s, d)[["name"]].compute()]), "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name AS v FROM nation")
+
+
+def _pairs(spark: SparkSession, sf_dir: str):
+    import numpy as np
+
+    return np.array([[k, 10 * k] for k in _keys(spark, sf_dir)])
+
+
+# Members that change nothing but what is known of an array.
+_lists("copy", lambda o: rt.copy(o.v), "v")
+_lists("to_packed", lambda o: rt.to_packed(o.q[o.q > 10]), "[x FOR x IN q IF x > 10]")
+_lists("with_parameter", lambda o: rt.with_parameter(o.q, "unit", "pieces"), "q")
+_lists("without_parameters", lambda o: rt.without_parameters(rt.with_parameter(o.v, "unit", "pieces")), "v")
+_facts("parameters", lambda s, d: [rt.with_parameter(orders(s, d).q, "unit", "pieces").parameters["unit"], len(rt.without_parameters(rt.with_parameter(orders(s, d).q, "unit", "pieces")).parameters)], "['pieces', '0']")
+_facts("array_type", lambda s, d: (lambda o: [o.q.type, o.q.ndim, o.k.ndim, rt.type(o.p).simpleString(), rt.type(rt.sum(o.q)).simpleString()])(orders(s, d)), "['?? * array<bigint>', '2', '1', 'array<double>', 'bigint']")
+_facts("array_form", lambda s, d: (lambda o: [o.q.form["type"], o.q.form["elementType"], o.q.layout == o.q.form])(orders(s, d)), "['array', 'long', 'True']")
+_facts("array_fields", lambda s, d: (lambda o: [*rt.fields(o), *rt.fields(o.q), rt.backend(o)])(orders(s, d)), "['k', 'cust', 'total', 'pri', 'n', 'q', 'p', 'd', 'v', 'spark']")
+_facts("array_attrs", lambda s, d: (lambda a: [a.attrs["origin"], a.record_name, "order_lines" in a.behavior])(rt.with_name(rt.with_attrs(orders(s, d)[["q", "p"]], {"origin": "orders"}), "order_lines")), "['orders', 'order_lines', 'True']")
+_facts("array_length", lambda s, d: (lambda a: [a.eager_compute_divisions() or len(a)])(orders(s, d)[["k"]]), "[(SELECT CAST(count(*) AS VARCHAR) FROM orders)]")
+_facts("divisions", lambda s, d: _divided(s, d), "['4', 'True', '[0, 7, 14, 21, 25]', 'False', '[None, None, None, None, None]', '[0, 7, 14, 21, 25]']")
+_facts("known_divisions", lambda s, d: list(rt.from_rows(_keys(s, d), npartitions=2, spark=s).divisions), "['0', '13', '25']")
+_facts("repartition_simple", lambda s, d: (lambda a: [list(a.repartition(n_to_one=2).divisions), list(a.repartition(one_to_n=2).divisions), list(a.repartition(divisions=[0, 5, 20]).divisions)])(rt.from_rows(_keys(s, d), npartitions=4, spark=s)), "['[0, 14, 25]', '[0, 4, 7, 11, 14, 18, 21, 23, 25]', '[0, 5, 20]']")
+_facts("outer_index", lambda s, d: [rt.normalize_single_outer_inner_index((0, 7, 14, 25), i) for i in (0, 6, 7, -1, 20)], "['(0, 0)', '(0, 6)', '(1, 0)', '(2, 10)', '(2, 6)']")
+_facts("partition_compatibility", lambda s, d: _compatible(s, d), "['YES', 'NO', 'True', 'False']")
+_facts("report_necessary_columns", lambda s, d: _read_leaves(rt.report_necessary_columns, s, d), "['events.parquet', 'event_type', 'value']")
+_facts("report_necessary_buffers", lambda s, d: _read_leaves(rt.report_necessary_buffers, s, d), "['events.parquet', 'data', 'event_type', 'value', 'shape']")
+_frame("optimize_columns", lambda s, d: rt.optimize_columns(rt.from_parquet(f"{d}/events.parquet", spark=s), ["event_id", "value"])[["event_id", "value", "event_type"]].to_spark(), "SELECT event_id, value, CAST(NULL AS VARCHAR) AS event_type FROM events")
+_facts("layout_to_jsonschema", lambda s, d: (lambda x: [x["type"], x["items"]["type"], x["title"]])(rt.layout_to_jsonschema(orders(s, d).q)), "['array', 'integer', 'untitled']")
+_facts("reset_meta", lambda s, d: (lambda q: [q.type, q.reset_meta(), q.type])(orders(s, d).q), "['?? * array<bigint>', 'None', '?? * array<bigint>']")
+
+# Scalars and records.
+_one("scalar_negative", lambda o: -rt.sum(o.q), "CAST(-sum(list_sum(q)) AS BIGINT)")
+_one("scalar_absolute", lambda o: abs(rt.min(o.q) - rt.max(o.q)), "abs(min(list_min(q)) - max(list_max(q)))")
+_frame("scalar_known", lambda s, d: (lambda o: rt.zip({"k": o.k, "v": o.k + rt.Scalar.from_known(5)}).to_spark())(orders(s, d)), "SELECT o_orderkey AS k, o_orderkey + 5 AS v FROM orders")
+_facts("scalar_to_delayed", lambda s, d: [rt.sum(orders(s, d).q).to_delayed()()], "[(SELECT CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))]")
+_one("record_field", lambda o: o[["k", "total"]][7].total, "(SELECT o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 7)", table="(SELECT 1)")
+_scalars("linear_fit_axis1", lambda o: rt.ufuncs.rint(rt.linear_fit(o.q, o.p, axis=1).slope * rt.where(rt.max(o.q, axis=1) > rt.min(o.q, axis=1), 1, None) * 77.7), "CASE WHEN list_max(q) > list_min(q) THEN round(list_sum([(a.q - list_avg(q)) * (a.p - list_avg(p)) FOR a IN z]) / list_sum([(x - list_avg(q)) * (x - list_avg(q)) FOR x IN q]) * 77.7) END", table="(SELECT k, q, p, list_transform(list_zip(q, p), lambda y: {'q': y[1], 'p': y[2]}) AS z FROM o)")
+
+
+@rt.register("measured_lines")
+class MeasuredLines:
+    @rt.lazy_method
+    def scaled(self, by):
+        return rt.sum(self.q, axis=1) * by
+
+
+_scalars("behavior_method", lambda o: rt.with_name(rt.zip({"q": o.q, "p": o.p}, depth_limit=1), "measured_lines").scaled(3), "CAST(coalesce(list_sum(q), 0) * 3 AS BIGINT)")
+
+
+def _plus(keys, more, by=1):
+    import pyarrow.compute as pc
+
+    return pc.add(keys, pc.multiply(more[0], by))
+
+
+_frame("map_partitions_packed", lambda s, d: (lambda o: rt.zip({"k": o.k, "v": rt.map_partitions(_plus, o.k, [o.cust], by=2, meta="bigint", output_divisions=1)}).to_spark())(orders(s, d)), "SELECT o_orderkey AS k, o_orderkey + 2 * o_custkey AS v FROM orders")
+
+
+def _divided(spark: SparkSession, sf_dir: str) -> list:
+    a = rt.from_rows(_keys(spark, sf_dir), npartitions=4, spark=spark)
+    out = [a.npartitions, a.known_divisions, list(a.divisions)]
+    a.clear_divisions()
+    out += [a.known_divisions, list(a.divisions)]
+    a.eager_compute_divisions()
+    return [*out, list(a.divisions)]
+
+
+def _compatible(spark: SparkSession, sf_dir: str) -> list:
+    keys = _keys(spark, sf_dir)
+    a, b, c = (rt.from_rows(keys, npartitions=n, spark=spark) for n in (4, 4, 5))
+    return [rt.partition_compatibility(a, b).name, rt.partition_compatibility(a, c).name, rt.compatible_partitions(a, b), rt.compatible_partitions(a, c)]
+
+
+def _read_leaves(report: Callable, spark: SparkSession, sf_dir: str) -> list:
+    """What a plan reads of a table, the source's name first."""
+    e = rt.from_parquet(f"{sf_dir}/events.parquet", spark=spark)
+    found = report(rt.zip({"t": e.event_type, "v": e.value * 2}))
+    out: list = []
+    for where, leaves in sorted(found.items()):
+        out.append(where.rstrip("/").rsplit("/", 1)[-1])
+        out += leaves if isinstance(leaves, list) else [x for kind in ("data", "shape") for x in (kind, *leaves[kind])]
+    return out
