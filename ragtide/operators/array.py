@@ -498,7 +498,7 @@ def exploded(array: Array, outer: bool = False, keep: tuple[str, ...] = (), orde
             return Leaf(F.col(names[id(x)]), x.depth - 1, x.skel[1:], x.dtype.elementType if isinstance(x.dtype, T.ArrayType) else None, x.attrs)
         return Rec(x.depth - 1, {n: inner(y) for n, y in x.fields.items()}, x.skel[1:], None, x.attrs)
 
-    return Array(frame.derived(df, (*order, at)), inner(v))
+    return Array(frame.derived(df, (*order, at), inner=frame.inner + 1 if order else 0), inner(v))
 
 
 def aligned(*items: Any, name: str = "operation") -> tuple[Frame, list]:

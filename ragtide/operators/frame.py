@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ragtide.config import config
 
 HIDDEN = "__rt_"
+#: Rows that one task may sort and hand on.
+FEW = 10_000
 
 
 _serial = itertools.count()
@@ -29,12 +31,12 @@ def hidden(what: str) -> str:
 class Frame:
     """df: rows with hidden columns. order: columns that order them. row: a column of consecutive numbers from 0, if
     there is one. part: a column of partition numbers, if there is one. divisions: first row of each partition and the
-    number of rows, if known. from_files: the rows are those of Parquet files, ordered by file and place once somebody
+    number of rows, if known. inner: how many of the last order columns are places within what was a row before. from_files: the rows are those of Parquet files, ordered by file and place once somebody
     asks; whole: and none is filtered out."""
 
-    def __init__(self, df: DataFrame, order: tuple[str, ...] = (), row: str | None = None, part: str | None = None, divisions: tuple[int, ...] | None = None, parts: int | None = None, from_files: bool = False, whole: bool = False):
+    def __init__(self, df: DataFrame, order: tuple[str, ...] = (), row: str | None = None, part: str | None = None, divisions: tuple[int, ...] | None = None, parts: int | None = None, from_files: bool = False, whole: bool = False, inner: int = 0):
         self.df, self.order, self.row, self.part, self.divisions, self._parts = df, order, row, part, divisions, parts
-        self.from_files, self.whole = from_files, whole
+        self.from_files, self.whole, self.inner = from_files, whole, inner
 
     @property
     def spark(self) -> SparkSession:
@@ -57,9 +59,9 @@ class Frame:
             self.order = (name,)
         return self.order
 
-    def derived(self, df: DataFrame, order: tuple[str, ...] | None = None, keeps_part: bool = True, parts: int | None = None) -> Frame:
+    def derived(self, df: DataFrame, order: tuple[str, ...] | None = None, keeps_part: bool = True, parts: int | None = None, inner: int = 0) -> Frame:
         """A frame over other rows made of this one's."""
-        return Frame(df, self.order if order is None else order, part=self.part if keeps_part else None, parts=parts or (self._parts if keeps_part else None))
+        return Frame(df, self.order if order is None else order, inner=self.inner if order is None else inner, part=self.part if keeps_part else None, parts=parts or (self._parts if keeps_part else None))
 
     def where(self, mask: Column) -> Frame:
         if not self.order and self.from_files:
@@ -68,9 +70,13 @@ class Frame:
         return self.derived(self.df.where(mask))
 
     def _bucket(self) -> tuple[list[Column], list[str]]:
-        *outer, last = self.ordered()
+        # Places within rows are left out, or there would be a bucket for each row; a bucket then holds fewer rows as they were.
+        order = self.ordered()
+        base = order[: len(order) - self.inner] or order
+        *outer, last = base
+        bits = config.bucket_bits if len(base) == len(order) else max(0, config.bucket_bits - 4)
         dtype = dict(self.df.dtypes)[last]
-        cut = F.shiftright(F.col(last), config.bucket_bits) if dtype in ("bigint", "int") else F.col(last)
+        cut = F.shiftright(F.col(last), bits) if dtype in ("bigint", "int") else F.col(last)
         return [*map(F.col, outer), cut], [hidden("b") for _ in (*outer, last)]
 
     def running(self, value: Column, before: str, over: DataFrame | None = None) -> DataFrame:
@@ -148,5 +154,8 @@ class Frame:
         return self.df.orderBy(*order)
 
     def first_rows(self, n: int) -> Frame:
+        if n > FEW:  # too many for one task
+            row = F.col(self.ranked())
+            return self.derived(self.df.where(row < n), keeps_part=False)
         order = self.ordered()
         return self.derived(self.df.orderBy(*order).limit(n), keeps_part=False, parts=1)

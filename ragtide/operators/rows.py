@@ -148,11 +148,11 @@ def sample(arr: Array, factor: int | None = None, probability: float | None = No
     return arr.over(frame.derived(frame.df.where((row - first) % factor == 0)))
 
 
-def map_partitions(base_fn: Callable, *args: Any, label: str | None = None, token: str | None = None, meta: Any = None, output_divisions: int | None = None, traverse: bool = True, per_batch: bool = False, **kwargs: Any) -> Array:
+def map_partitions(base_fn: Callable, *args: Any, label: str | None = None, token: str | None = None, meta: Any = None, output_divisions: int | None = None, traverse: bool = True, per_batch: bool | None = None, **kwargs: Any) -> Array:
     """A function over the partitions of arrays that lie side by side. It gets pyarrow arrays (a partition's rows, or with
     per_batch those of an Arrow batch, which bounds what a task holds) and gives one, or anything pyarrow makes one of.
     meta: Spark's type of a row, or its text; without it the function is called on arrays of no rows. output_divisions:
-    1 if rows stay what they were. traverse: also look for arrays inside lists, tuples and dictionaries."""
+    1 if rows stay what they were; the function then gets batches unless per_batch is False. traverse: also look for arrays inside lists, tuples and dictionaries."""
     found: list[Array] = []
 
     def pack(x: Any) -> Any:
@@ -165,6 +165,8 @@ def map_partitions(base_fn: Callable, *args: Any, label: str | None = None, toke
             return {k: pack(y) for k, y in x.items()}
         return x
 
+    if per_batch is None:
+        per_batch = output_divisions == 1
     packed, named = [pack(a) for a in args], {k: pack(v) for k, v in kwargs.items()}
     if not found:
         raise TypeError("map_partitions: no lazy array among the arguments")

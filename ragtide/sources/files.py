@@ -135,17 +135,24 @@ def _lines(paths: list[str], compression: str | None, delimiter: str | None, spa
 
 
 def from_text(source: Any, blocksize: Any = None, delimiter: str | bytes = "\n", compression: str | None = "infer", spark: SparkSession | None = None) -> Array:
-    """A string for each part between delimiters. blocksize: how much of a file a task reads (such as "64 MiB"); Spark
-    has one such setting for a session, so that it holds for all files from then on."""
-    spark = _spark(spark)
+    """A string for each part between delimiters. blocksize: how much of a file a task reads (such as "64 MiB")."""
+    spark = _with_blocks(_spark(spark), blocksize)
     if isinstance(delimiter, bytes):
         delimiter = delimiter.decode()
-    if blocksize is not None:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(_bytes(blocksize)))
     df = _lines(_paths(source), compression, delimiter, spark, whole=False)
     return Array(Frame(df, ("__rt_file", "__rt_block", "__rt_at")), Leaf(F.col("value"), 0, (), T.StringType()))
 
 
+def _with_blocks(spark: SparkSession, blocksize: Any) -> SparkSession:
+    """A session that cuts files into blocks of this size: a copy, as Spark has one such setting for a session and other
+    reads are to keep theirs."""
+    if blocksize is None:
+        return spark
+    copy = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.files.maxPartitionBytes", str(_bytes(blocksize)))
+    return copy
+
+
 def _bytes(size: Any) -> int:
     if isinstance(size, int):
         return size
@@ -155,12 +162,11 @@ def _bytes(size: Any) -> int:
 
 def from_json(source: Any, line_delimited: bool = True, schema: Any = None, nan_string: str | None = None, posinf_string: str | None = None, neginf_string: str | None = None, complex_record_fields: tuple[str, str] | None = None, blocksize: Any = None, delimiter: str | bytes | None = None, compression: str | None = "infer", meta_sample_rows: int | None = 100, report: bool = False, spark: SparkSession | None = None) -> Any:
     """Records of JSON lines, or (line_delimited=False) one value a file. schema: Spark's, its text, or a JSON schema;
-    without it one is made from the first meta_sample_rows lines (None: from all). nan_string and its like are strings that
+    without it one is made from the first meta_sample_rows lines (None: from all); a later line with a field that these
+    lack is an error, or counted in the report as lost_fields. nan_string and its like are strings that
     stand for those numbers. complex_record_fields: names of two fields, real and imaginary, that are kept as a record of
     doubles. report: also a DataFrame of the lines that aren't JSON, by file; their rows are then missing."""
-    spark = _spark(spark)
-    if blocksize is not None:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(_bytes(blocksize)))
+    spark = _with_blocks(_spark(spark), blocksize)
     if isinstance(delimiter, bytes):
         delimiter = delimiter.decode()
     df = _lines(_paths(source), compression, delimiter, spark, whole=not line_delimited)
@@ -169,6 +175,7 @@ def from_json(source: Any, line_delimited: bool = True, schema: Any = None, nan_
         schema = schema_of_jsonschema(schema)
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
+    sampled = schema is None and bool(meta_sample_rows)
     if schema is None:
         lines = df.select("value").limit(meta_sample_rows) if meta_sample_rows else df.select("value")
         objects = lines.where(F.ltrim("value").startswith("{"))
@@ -193,9 +200,13 @@ def from_json(source: Any, line_delimited: bool = True, schema: Any = None, nan_
         df = df.withColumn("__rt_v", F.from_json("value", read, {"allowNonNumericNumbers": "true"}))
         wrong = F.col("__rt_v").isNull()
     col = F.col("__rt_v")
-    failed = df.where(wrong).groupBy(F.col("__rt_file").alias("path")).agg(F.count("*").alias("bad_lines"))
+    lost = F.lit(False)
+    if sampled and isinstance(read, T.StructType):
+        lost = F.coalesce(F.size(F.array_except(F.json_object_keys("value"), F.lit(read.names))) > 0, F.lit(False))
+    failed = df.where(wrong | lost).groupBy(F.col("__rt_file").alias("path")).agg(F.count_if(wrong).alias("bad_lines"), F.count_if(lost & ~wrong).alias("lost_fields"))
     if not report:
-        checked = F.when(wrong, F.raise_error(F.concat(F.lit("not JSON of the schema: "), F.substring("value", 1, 200)))).otherwise(col)
+        late = F.concat(F.lit("a field that the sampled lines lack (give a schema, or meta_sample_rows=None): "), F.substring("value", 1, 200))
+        checked = F.when(lost & ~wrong, F.raise_error(late)).when(wrong, F.raise_error(F.concat(F.lit("not JSON of the schema: "), F.substring("value", 1, 200)))).otherwise(col)
         df = df.withColumn("__rt_v", checked)
     if names:
         df = df.withColumn("__rt_v", _numbers(F.col("__rt_v"), read, schema, names))

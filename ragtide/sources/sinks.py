@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,18 @@ def to_parquet(array: Array, destination: str, emptyarray_to: str | None = None,
     return write() if compute else write
 
 
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON values to the lines of one array, as they stream by."""
+    mark = "["
+    for batch in batches:
+        rows = batch.column(0).to_pylist()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{mark}{rows[0]}", *(f",{x}" for x in rows[1:])])], ["value"])
+            mark = ","
+    if mark == ",":
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+
 def to_json(array: Array, path: str, line_delimited: bool = True, nan_string: str | None = None, posinf_string: str | None = None, neginf_string: str | None = None, complex_record_fields: tuple[str, str] | None = None, compression: str | None = None, mode: str = "error", compute: bool = True, **options: Any) -> Any:
     """JSON lines. nan_string and its like are written for those numbers; without them Spark writes NaN and Infinity as
     strings of these names. Missing values are written as null."""
@@ -73,8 +86,7 @@ def to_json(array: Array, path: str, line_delimited: bool = True, nan_string: st
         df = df.select(*[strings(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
         if not line_delimited:
             rows = F.to_json(F.struct(*[F.col(f"`{n}`") for n in df.columns]), {"ignoreNullFields": "false"})
-            df = df.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(rows), ","), F.lit("]")).alias("value")).select("value")
-            df.write.mode(mode).option("compression", compression or "none").text(path)
+            df.select(rows.alias("value")).mapInArrow(_as_array, "value string").write.mode(mode).option("compression", compression or "none").text(path)
         elif df.columns == ["value"] and not (isinstance(array.node, Rec) and array.depth == 0):
             # Bare values, as JSON has them: without a name in front.
             rows = F.regexp_replace(F.to_json(F.struct("value"), {"ignoreNullFields": "false"}), r'^\{"value":(.*)\}$', "$1")

@@ -111,3 +111,32 @@ def test_json_schemas(spark):
     made = rt.layout_to_jsonschema(a)
     assert made["properties"]["x"] == {"type": "array", "items": {"type": "integer"}}
     assert schema_of_jsonschema(made).simpleString() == a.dtype.simpleString()
+
+
+def test_blocks_are_those_of_one_read(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("some line\n" * 9000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    a = rt.from_text(str(tmp_path / "t.txt"), blocksize=10_000, spark=spark)
+    assert a.npartitions >= 8 and len(a.compute()) == 9000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert rt.from_text(str(tmp_path / "t.txt"), spark=spark).npartitions < 8
+
+
+def test_fields_beyond_the_sample_are_not_lost_in_silence(spark, tmp_path):
+    path = tmp_path / "late.json"
+    path.write_text('{"a": 1}\n' * 5 + '{"a": 2, "b": 3}\n')
+    with pytest.raises(Exception, match="sampled lines lack"):
+        rt.from_json(str(path), meta_sample_rows=3, spark=spark).compute()
+    array, failed = rt.from_json(str(path), meta_sample_rows=3, report=True, spark=spark)
+    assert [r["a"] for r in array.compute()] == [1] * 5 + [2]
+    assert [(r["bad_lines"], r["lost_fields"]) for r in failed.collect()] == [(0, 1)]
+    assert rt.from_json(str(path), meta_sample_rows=None, spark=spark).compute()[-1] == {"a": 2, "b": 3}
+
+
+def test_json_arrays_stream(spark, tmp_path):
+    import json
+
+    rt.to_json(rt.from_rows([{"a": i} for i in range(50)], npartitions=3, spark=spark), str(tmp_path / "arrays"), line_delimited=False)
+    files = sorted((tmp_path / "arrays").glob("part-*"))
+    rows = [x for f in files if f.stat().st_size for x in json.loads(f.read_text())]
+    assert sorted(x["a"] for x in rows) == list(range(50))

@@ -64,3 +64,23 @@ def test_filter_reaches_the_scan(points):
 def test_no_shuffle_within_rows(points):
     made = rt.zip({"a": rt.sum(points.points.x, axis=1), "b": rt.num(rt.combinations(points.points, 2)["0"].x)}, depth_limit=1)
     assert "Exchange" not in made.to_spark()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_numbers_after_an_explode_have_few_buckets(spark):
+    a = rt.from_dataframe(spark.range(5000).selectExpr("id", "array(id, 1, 2) AS l"), order_by="id")
+    flat = rt.flatten(a.l)
+    cuts, names = flat.frame._bucket()
+    assert flat.frame.df.select(*[c.alias(n) for c, n in zip(cuts, names)]).distinct().count() == 1
+    with rt.settings(bucket_bits=10):
+        cuts, names = flat.frame._bucket()
+        assert flat.frame.df.select(*[c.alias(n) for c, n in zip(cuts, names)]).distinct().count() == 79
+    made = rt.zip({"k": rt.local_index(flat, axis=0), "v": flat}).to_spark().orderBy("k").collect()
+    assert [r["k"] for r in made] == list(range(15_000)) and [r["v"] for r in made[:7]] == [0, 1, 2, 1, 1, 2, 2]
+
+
+def test_many_first_rows_are_not_sorted_by_one_task(spark):
+    a = rt.from_dataframe(spark.range(30_000).selectExpr("30000 - id AS k"), order_by="k")
+    many = a[:20_000].to_spark()
+    assert "TakeOrdered" not in many._jdf.queryExecution().executedPlan().toString()
+    assert many.count() == 20_000 and many.agg({"k": "max"}).first()[0] == 20_000
+    assert a[:3].to_spark().collect() == [(1,), (2,), (3,)]
