@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
+#: Longer words are hashed by a digest of their bytes: a polynomial modulo 2^64 loses bits on long patterns.
+POLYNOMIAL_BYTES = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -85,6 +88,11 @@ class Words:
         sums[0] = 0
         np.cumsum(_BYTE[self.data] * up[: len(raw)], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        for i in np.flatnonzero(self.end - self.start > POLYNOMIAL_BYTES).tolist():
+            self.hash[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

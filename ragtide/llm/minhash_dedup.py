@@ -3,8 +3,9 @@ shingle sets, and connected components by alternating large-star and small-star.
 
 Rules. Words are runs without ASCII white space, after A-Z are lower-cased. A document's set holds its distinct
 shingles of `words` words; a shorter document has its whole sequence as one; one without words, or null, has the empty
-set and is linked with nothing. Two documents are linked if 100 * intersection >= percent * union. A row whose id is
-null keeps its links to its class but is nobody's representative; rows that repeat an id count once.
+set and is linked with nothing. Two documents are linked if 100 * intersection >= percent * union. Ids are whole numbers
+or null. A row whose id is null takes part in all links but is nobody's representative. Rows that repeat an id are one
+document: where their texts differ, the one whose set has the least digest is compared, and all share its component.
 
 How links are found without pairs of a whole group: equal sets fall into one class first, by a partial aggregation.
 Class representatives that share a band key are compared with the least of that bucket (a star, linear in its size);
@@ -114,14 +115,21 @@ def grams_of_bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _sets(words: int):
+    """id, the first half of the set's digest as _sketch() has it, and the sorted set."""
+
     def run(batches):
         for batch in batches:
             texts, at = utf8(batch.column(1)), 0
             for flat, first in shingle_sets(texts, words):
                 rows = len(first) - 1
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(flat ^ U(0x5851F42D4C957F2D)))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array([flat[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())],
-                    ["id", "grams"],
+                    [
+                        batch.column(0).slice(at, rows),
+                        pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)),
+                        pa.array([flat[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()),
+                    ],
+                    ["id", "h1", "grams"],
                 )
                 at += rows
 
@@ -195,25 +203,46 @@ def _block_links(percent: int):
     return run
 
 
+def _with_nodes(docs: DataFrame, store: Store, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, text), null ids replaced by numbers beyond all ids, equal texts without an id taken as one; (node, text) of
+    these; and the largest id."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    top = src.agg(F.max("doc_id")).first()[0]
+    top = 0 if top is None else top
+    unnamed = src.where("doc_id IS NULL").select("text").distinct()
+    unnamed = store.put(unnamed.select((F.monotonically_increasing_id() + F.lit(top) + F.lit(1)).alias("node"), "text"), "unnamed")
+    return src.where("doc_id IS NOT NULL").union(unnamed), unnamed, top
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept. docs may have any further columns.
 
     component_id is the smallest id reachable over links (its own for a row without links; null where all ids of the
     class are null); kept tells whether the row is that document. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    store = Store(spark, "minhash")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    store = Store(docs.sparkSession, "minhash")
+    src, unnamed, top = _with_nodes(docs, store, id_col, text_col)
+    out = _components(src, store, percent, words)
+    nulls = docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("string").alias("text"))
+    again = nulls.join(unnamed, nulls["text"].eqNullSafe(unnamed["text"])).select("node")
+    found = out.where(F.col("doc_id") > top).select(F.col("doc_id").alias("id"), "n_shingles", "component_id")
+    again = again.join(found, F.col("node") == F.col("id")).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", "component_id")
+    out = out.where(F.col("doc_id") <= top).union(again).withColumn("component_id", F.when(F.col("component_id") <= top, F.col("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _components(src: DataFrame, store: Store, percent: int, words: int) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of src (doc_id, text), of which no id is null."""
     made = store.put(
         src.mapInArrow(_sketch(words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"), "sketch"
     )
-    # A class: rows with equal sets. Rows without words stay alone.
+    # A class: documents with equal sets. Rows without words stay alone.
     key = ["h1", "h2", "n_shingles"]
-    least = made.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    slim = made.select("doc_id", *key).where("n_shingles > 0").join(least, key).select("doc_id", "n_shingles", "rep")
-    slim = store.put(slim, "classes")
-    reps = slim.where("doc_id = rep").select("doc_id").distinct()
-    sketch = made.where("n_shingles > 0").select("doc_id", "n_shingles", "sig", "bands").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("k")).select("doc_id", "k.*")
+    own = store.put(own, "own")
+    slim = store.put(own.join(own.groupBy(*key).agg(F.min("doc_id").alias("rep")), key).select("doc_id", "rep"), "classes")
+    reps = own.join(slim.where("doc_id = rep"), "doc_id").select("doc_id", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    sketch = made.select("doc_id", *key, "sig", "bands").join(reps, "doc_id").where("h1 = g1 AND h2 = g2").select("doc_id", "n_shingles", "sig", "bands").dropDuplicates(["doc_id"])
     sketch = store.put(sketch, "reps")
     # Buckets with several members, and each member's pair with the least.
     rows = sketch.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
@@ -233,7 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
 
     def with_sets(ids: DataFrame, tag: str) -> DataFrame:
         wanted = narrowed(src, src["doc_id"], ids).join(ids, src["doc_id"] == ids["id"], "left_semi")
-        return store.put(wanted.mapInArrow(_sets(words), "id long, grams binary").dropDuplicates(["id"]), tag)
+        sets = wanted.mapInArrow(_sets(words), "id long, h1 long, grams binary").where("octet_length(grams) > 0")
+        return store.put(sets.groupBy("id").agg(F.min_by("grams", "h1").alias("grams")), tag)
 
     sets = with_sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "sets")
     links = (
@@ -269,14 +299,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
             comp = store.put(components(links.union(found), store, "b"), "comp2")
         store.drop("more", "found")
     store.drop("live", "pairs", "sets", "rest", "reps")
-    out = slim.join(comp, slim["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = slim.join(comp, slim["rep"] == comp["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    out = made.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """docs without the rows that near_duplicates() does not keep. Of rows that repeat a kept id, one stays; rows whose
-    id is null stay only if nothing is linked to them by an id."""
-    verdict = near_duplicates(docs, percent, words).where("kept").select("doc_id").distinct()
-    stay = docs.join(verdict, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """docs without the rows that near_duplicates() does not keep. Of rows that repeat a kept id, one with the least text
+    stays. Of linked rows of which none has an id, one stays; a row without an id that is linked to one with an id goes."""
+    store = Store(docs.sparkSession, "minhash")
+    src, unnamed, _ = _with_nodes(docs, store, "doc_id", "text")
+    kept = store.put(_components(src, store, percent, words).where("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct(), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    free = rows.where("node IS NULL").drop("node").join(unnamed.withColumnRenamed("text", "own"), F.col("text").eqNullSafe(F.col("own")))
+    every = rows.where("node IS NOT NULL").union(free.select("row", "node", "text"))
+    stay = every.join(kept, "node", "left_semi").groupBy("node").agg(F.min_by("row", F.struct("text")).alias("row"))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -94,3 +94,34 @@ def test_empty(documents):
 
 def test_query_is_its_sql(spark, sf_dir):
     compare(queries.QUERIES["op4_minhash"](spark, sf_dir), connect(sf_dir), queries.SQL["op4_minhash"])
+
+
+def test_rows_without_an_id_and_repeated_ids(documents):
+    r = random.Random(23)
+    words = [f"w{r.randrange(300)}" for _ in range(80)]
+    a, near, b, c = " ".join(words), " ".join(changed(r, words, 1)), "nobody with an id says this here", "a text with two rows under one id"
+    rows = [(1, a), (None, a), (None, near), (None, b), (None, b), (None, b.upper()), (None, None), (None, ""), (5, c), (5, "b " + c), (7, "b " + c), (7, "b " + c)]
+    df = documents(rows).selectExpr("*", "'mine' AS row", "'too' AS node", "1 AS own")
+    got = Counter(tuple(x) for x in m.near_duplicates(df, 80).collect())
+    assert {k: v for k, v in got.items() if k[0] is None} == {(None, 76, 1, False): 2, (None, 3, None, False): 3, (None, 0, None, False): 2}
+    kept = m.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    texts = Counter((x["doc_id"], x["text"] and x["text"].lower(), x["row"], x["node"]) for x in kept.collect())
+    five = {x["doc_id"]: x["component_id"] for x in m.near_duplicates(df, 80).collect()}
+    assert five[5] == 5 and five[7] in (5, 7)
+    want = Counter({(1, a, "mine", "too"): 1, (None, b, "mine", "too"): 1, (None, None, "mine", "too"): 1, (None, "", "mine", "too"): 1, (5, min(c, "b " + c), "mine", "too"): 1})
+    if five[7] == 7:
+        want[7, "b " + c, "mine", "too"] = 1
+    assert texts == want
+    # The same whatever order the rows come in.
+    again = {x["doc_id"]: x["component_id"] for x in m.near_duplicates(documents(rows[::-1]), 80).collect()}
+    assert again == five
+
+
+def test_words_that_a_polynomial_confuses(documents):
+    a = "ab"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = {x["doc_id"]: (x["component_id"], x["kept"]) for x in m.near_duplicates(documents([(1, a), (2, b)])).collect()}
+    assert got == {1: (1, True), 2: (2, True)}
