@@ -53,6 +53,49 @@ def test_ftrl_separates():
     assert w[1] > 0.5 > -0.5 > w[0]
 
 
+def brute_ftrl(examples, epochs):
+    """Weights a coordinate at a time: the definition of follow-the-regularised-leader with both penalties."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= q.L1:
+            return 0.0
+        return -(z[i] - (q.L1 if z[i] > 0 else -q.L1)) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+
+    for _ in range(epochs):
+        for row, y in examples:
+            w = {i: weight(i) for i in row}
+            p = 1 / (1 + np.exp(-sum(w[i] * x for i, x in row.items())))
+            for i, x in row.items():
+                g = (p - y) * x
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / q.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_against_brute_force(spark, documents):
+    rng = np.random.default_rng(3)
+    vocabulary = ["Good", "prose", "here", "AND", "there", "spam", "CLICK", "12", "now!", "é"]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 30)))) for i in range(150)] + [(500, None), (501, "")]
+    labels = spark.createDataFrame([(i, int(rng.integers(0, 2))) for i, _ in rows], "doc_id long, quality int")
+    got = q.train(documents(rows), labels, sample=70, epochs=2)
+    order = {r[0]: r[1] for r in labels.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    learnt = sorted((i for i, _ in rows if zlib.crc32(str(i).encode()) % 5), key=lambda i: order[i])[:70]
+    texts, examples = dict(rows), []
+    for i in learnt:
+        places, first = q.slots([(texts[i] or "").encode()])
+        row = {q.SLOTS: 1.0}
+        for k in places.ravel().tolist():
+            row[k] = row.get(k, 0.0) + float(q.WEIGHT) / first[1]
+        examples.append((row, y[i]))
+    want = np.zeros(q.SLOTS + 1)
+    for i, w in brute_ftrl(examples, 2).items():
+        want[i] = w
+    assert np.count_nonzero(want) > 100 and np.allclose(got, want, atol=1e-5)
+
+
 def test_odd_rows(documents, spark):
     rows = [(1, "good words here"), (2, None), (3, ""), (1, "good words here"), (None, "x"), (4, LONG)]
     docs = documents(rows)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from ragtide.llm import queries
 from ragtide.llm import sentencepiece as sp
 
 from .conftest import LONG
@@ -110,3 +111,19 @@ def test_encode_and_decode_frames(documents):
 def test_the_marker_comes_first(model):
     ids = model.encode_batch([b"hello"])[0]
     assert model.text[int(ids[0])].startswith(b" ") and np.issubdtype(ids.dtype, np.integer)
+
+
+def test_query_against_brute_force(spark, sf_dir, model, pieces):
+    """Whole documents: every row's ids score best, and what comes back is the text."""
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_sentencepiece"](spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for doc, text in texts.items():
+        assert got[doc]["text_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[doc]["round_trip"]
+    few = sorted((d for d, t in texts.items() if t and "▁" not in t), key=lambda d: len(texts[d]))[:25]
+    byte_ids, own = set(model.bytes.tolist()), {p.replace("▁", " ") for p, _, t in pieces if t in (1, 4)}
+    for doc in few:
+        ids = model.encode_batch([texts[doc].encode()])[0]
+        assert (got[doc]["n_tokens"], got[doc]["ids_sha256"]) == (len(ids), hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest())
+        total = sum(float(model.score[i]) for i in ids.tolist() if i not in byte_ids) + sum(c not in own for c in " " + texts[doc]) * float(model.unknown)
+        assert total == pytest.approx(viterbi(pieces, float(model.unknown), model.bytes, texts[doc])[0], rel=1e-5, abs=1e-2)

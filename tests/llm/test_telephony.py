@@ -50,13 +50,38 @@ def test_resampling_keeps_samples():
     assert abs(int(t.resample_double(np.full(50, 800, np.int16))[41]) - 800) <= 2
 
 
+def expanded(code, law):
+    """A code's sample, worked out bit by bit."""
+    if law == "mu":
+        code = ~code & 255
+        size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33 << 2
+        return -size if code & 128 else size
+    code ^= 0x55
+    part, fine = code >> 4 & 7, code & 15
+    size = (2 * fine + 1 if part == 0 else (2 * fine + 33) << part - 1) << 3
+    return size if code & 128 else -size
+
+
+def slow_features(whole):
+    """The feature, and the length and checksum of the PCM file, sample by sample."""
+    mu, a = [expanded(c, "mu") for c in whole], [expanded(c, "a") for c in whole]
+    adpcm = [x for i in range(0, len(whole), 64) for x in slow_adpcm(list(whole[i : i + 64]))]
+    top = lambda v: max(map(abs, v))
+    energy = lambda v: sum(x * x for x in v)
+    turns = sum((x < 0) != (y < 0) for x, y in zip(mu, mu[1:]))
+    taps, out = t._TAPS.tolist(), []
+    for i, x in enumerate(mu):
+        near = [mu[j] if 0 <= j < len(mu) else 0 for j in range(i - 3, i + 5)]
+        out += [x, max(-32768, min(32767, sum(u * v for u, v in zip(near, taps)) + 16384 >> 15))]
+    pcm = t.wav(np.array(out, "<i2").tobytes(), 1, 16000, 16)
+    return f"mu {top(mu)} {energy(mu)} {turns};a {top(a)} {energy(a)};adpcm {top(adpcm)} {energy(adpcm)}", len(pcm), zlib.crc32(pcm)
+
+
 def test_rows(documents):
     rows = [(1, "hello"), (2, None), (3, ""), (4, "hello"), (4, "hello"), (None, "ü" * 64), (6, LONG)]
     got = t.read_audio(t.store_audio(documents(rows), "doc_id", "text")).collect()
     assert len(got) == len(rows)
     by_text = {}
-    for (doc_id, text), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r["id"], r["n_bytes"])))):
-        del doc_id, text, r
     for r in got:
         text = next(x for i, x in rows if i == r["id"])
         raw = (text or "").encode()
@@ -65,6 +90,7 @@ def test_rows(documents):
         assert r["payload_sha256"] == hashlib.sha256(whole).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(whole[-64:])
         assert by_text.setdefault(text or "", r[1:]) == r[1:]
+        assert (r["feature"], r["pcm_bytes"], r["pcm_crc32"]) == slow_features(whole)
     assert t.read_audio(t.store_audio(documents([]), "doc_id", "text")).count() == 0
 
 
