@@ -7,13 +7,14 @@ lower-cased.
 All words of a window must occur, so its prefix is one word: the rarest, by counts of the benchmark's vocabulary over all
 documents. A document's words are looked up among these prefix words; each find is tied to the windows that have the
 word, at its place in them (positional bound), if the document has room for the whole window there (length bound), and
-then all words of the window are compared. Words are compared by 64-bit hashes.
+then all words of the window are compared: by 64-bit hashes, and what these let pass byte by byte.
 
-The windows are sent to all tasks if they fit into max_broadcast_bytes, which is checked; beyond it the benchmark is dealt
-into slices that do, each slice reads the documents for itself, and the finds of all slices are put together.
+The windows are sent to all tasks if they fit into max_broadcast_bytes, which is checked; beyond it they are dealt into
+slices that do, each slice reads the documents for itself, and the finds of all slices are put together. An item's
+windows may lie in several slices.
 
 Null or wordless texts have no words and are never contaminated; null item ids count as an item named null; items and
-rows may repeat; an empty benchmark hits nothing; further columns are not touched.
+rows may repeat; an empty benchmark hits nothing; further columns, of whatever name, are not touched.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragtide.llm._text import NON_WORD, U, Words, chunks, mix, utf8
@@ -34,7 +35,7 @@ _SALT = U(0x2545F4914F6CDD1D)
 
 
 def _windows(size: int):
-    """Items to windows: words as hashes, 8 bytes each, and the item's name."""
+    """Items to windows: the item's name, and the window's words with a space between."""
 
     def run(batches):
         for batch in batches:
@@ -42,12 +43,12 @@ def _windows(size: int):
             texts = utf8(batch.column(1))
             for a, b in chunks(texts):
                 w = Words(texts[a:b], NON_WORD)
-                rows = [
-                    (names[a + i], w.hash[j : j + min(size, n)].tobytes())
-                    for i, (f, n) in enumerate(zip(w.first[:-1].tolist(), w.count.tolist()))
-                    for j in range(f, f + max(1, n - size + 1) if n else f)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else ([], []), (pa.string(), pa.binary()))], ["item", "words"])
+                for i, (f, n) in enumerate(zip(w.first[:-1].tolist(), w.count.tolist())):
+                    words = [w.word(j) for j in range(f, f + n)]
+                    count = max(1, n - size + 1) if n else 0
+                    for c in range(0, count, 4096):
+                        part = [b" ".join(words[j : j + size]) for j in range(c, min(c + 4096, count))]
+                        yield pa.RecordBatch.from_arrays([pa.array([names[a + i]] * len(part), pa.string()), pa.array(part, pa.binary())], ["item", "words"])
 
     return run
 
@@ -80,6 +81,15 @@ def _count(vocabulary: np.ndarray):
     return run
 
 
+def hashed(windows: list[bytes]) -> list[np.ndarray]:
+    """Each window's words as hashes."""
+    out = []
+    for a, b in chunks(windows):
+        w = Words(windows[a:b], NON_WORD)
+        out += np.split(w.hash, w.first[1:-1])
+    return out
+
+
 class Index:
     """Windows by their rarest word."""
 
@@ -88,7 +98,8 @@ class Index:
         for item, words in windows:
             by_words.setdefault(words, set()).add(item)
         self.items = [frozenset(s) for s in by_words.values()]
-        self.words = [np.frombuffer(w, U) for w in by_words]
+        self.texts = list(by_words)
+        self.words = hashed(self.texts)
         prefix = []
         for k, w in enumerate(self.words):
             at = min(range(len(w)), key=lambda i: (counts.get(int(w[i]), 0), int(w[i])))
@@ -118,7 +129,9 @@ class Index:
                 fits = np.flatnonzero((first >= lo) & (first + size <= hi))
                 first = first[fits]
                 first = first[sums[first + size] - sums[first] == self.check[window]]
-                out += [(f, f + size, window) for f in first.tolist() if np.array_equal(w.hash[f : f + size], self.words[window])]
+                for f in first.tolist():
+                    if np.array_equal(w.hash[f : f + size], self.words[window]) and b" ".join(w.word(i) for i in range(f, f + size)) == self.texts[window]:
+                        out.append((f, f + size, window))
         return out
 
 
@@ -158,32 +171,48 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(hits: Column) -> Column:
+    """union() of an array of ranges."""
+    none = F.array().cast("array<struct<first:bigint,end:bigint>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(x["end"], last["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["first"] <= last["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(hits), none, add)
+
+
 FOUND = "n_words long, items array<string>, hits array<struct<first:long,end:long>>, th long"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """For each row of docs: id, n_words, items (ids as strings, sorted), hits (word ranges that windows cover)."""
+def _indexes(src: DataFrame, benchmark: DataFrame, size: int, max_broadcast_bytes: int):
+    """An index for each slice of the windows. src: a column text."""
     windows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(_windows(size), "item string, words binary").distinct()
-    weight = windows.agg(F.sum(F.octet_length("words") + F.octet_length(F.coalesce("item", F.lit(""))) + 64)).first()[0] or 0
+    # A window's bytes, its hashes and its entries in the index.
+    weight = windows.agg(F.sum(2 * F.octet_length("words") + F.octet_length("item") + 8 * size + 400)).first()[0] or 0
     slices = -(-weight // max_broadcast_bytes) or 1
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    parts = []
     for k in range(slices):
-        own = [(r[0], bytes(r[1])) for r in windows.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).collect()]
-        vocabulary = np.unique(np.concatenate([np.frombuffer(w, U) for _, w in own])) if own else np.zeros(0, U)
+        own = [(r[0], bytes(r[1])) for r in windows.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == k).collect()]
+        vocabulary = np.unique(np.concatenate(hashed([w for _, w in own]))) if own else np.zeros(0, U)
         counts = {}
         if len(vocabulary):
             counted = src.select("text").mapInArrow(_count(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n"))
             counts = {int(np.int64(r[0]).view(U)): r[1] for r in counted.collect()}
-        index = Index(own, counts)
-        parts.append(src.mapInArrow(_scan(index), f"id {kind}, {FOUND}"))
+        yield Index(own, counts)
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """For each row of docs: id, n_words, items (ids as strings, sorted), hits (word ranges that windows cover)."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    kind = src.schema["id"].dataType.simpleString()
+    parts = [src.mapInArrow(_scan(index), f"id {kind}, {FOUND}") for index in _indexes(src, benchmark, size, max_broadcast_bytes)]
+    slices = len(parts)
     if slices == 1:
         return parts[0].drop("th")
     # Rows that repeat have equal finds, so one row for each id and text gives them all.
     whole = reduce(DataFrame.union, parts).groupBy("id", "th").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.flatten(F.collect_set("hits")).alias("hits"))
-    merged = F.aggregate(F.array_sort("hits"), F.array().cast("array<struct<first:bigint,end:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(x["end"], F.element_at(acc, -1)["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    whole = whole.withColumn("hits", merged)
+    whole = whole.withColumn("hits", _merged(F.col("hits")))
     keys = src.select(F.col("id").alias("kid"), F.col("th").alias("kth"))
     return keys.join(whole, keys["kid"].eqNullSafe(whole["id"]) & (keys["kth"].eqNullSafe(whole["th"]))).select(F.col("kid").alias("id"), "n_words", "items", "hits")
 
@@ -195,12 +224,43 @@ def verdict(found: DataFrame, percent: int = 5) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, percent: int = 5) -> DataFrame:
-    """docs, with their columns, without contaminated rows. Null ids are told apart by their texts' words."""
-    bad = verdict(find_items(docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("th"))), benchmark, "__key", "text", size), percent)
-    bad = bad.where("contaminated").select("doc_id.doc_id", "doc_id.th").distinct()
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    return keyed.join(bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__bad")), keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__th"] == F.col("__bad")), "left_anti").select(*docs.columns)
+def _leaks(hits: list[tuple[int, int]], n_words: int, size: int, percent: int) -> bool:
+    hit = sum(e - s for s, e in hits)
+    return any(e - s >= size for s, e in hits) or hit > 0 and 100 * hit >= percent * n_words
+
+
+def _filter(index: Index, place: int, size: int, percent: int):
+    def run(batches):
+        for batch in batches:
+            texts = utf8(batch.column(place))
+            for a, b in chunks(texts):
+                w = Words(texts[a:b], NON_WORD)
+                spans: list[list] = [[] for _ in range(b - a)]
+                for first, end, _ in index.matches(w):
+                    spans[int(np.searchsorted(w.first, first, side="right")) - 1].append((first, end))
+                yield batch.slice(a, b - a).filter(pa.array([not _leaks(union(x), n, size, percent) for x, n in zip(spans, w.count.tolist())], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, percent: int = 5, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """docs, with their columns, without rows that hold a benchmark passage: a stretch of `size` words or more that windows
+    cover, however long the row is; or, where items are shorter, as many of their words as are percent of the row's.
+    Texts decide, so rows with equal or null ids are told apart. One slice of windows filters the rows where they lie; the
+    share of hits in several slices needs them all, so their finds are put together by text."""
+    place = docs.columns.index("text")
+    src = docs.select(F.col("text").cast("string").alias("text"))
+    indexes = list(_indexes(src, benchmark, size, max_broadcast_bytes))
+    if len(indexes) == 1:
+        return docs.mapInArrow(_filter(indexes[0], place, size, percent), docs.schema)
+    row = docs.select(F.struct("*").alias("row"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("digest"))
+    text = row.select("digest", F.col("row").getField("text").cast("string").alias("text")).where("text IS NOT NULL")
+    src = text.select(F.col("digest").alias("id"), "text", F.lit(0).cast("long").alias("th"))
+    found = reduce(DataFrame.union, (src.mapInArrow(_scan(index), f"id string, {FOUND}") for index in indexes)).where("size(hits) > 0")
+    hits = found.groupBy("id").agg(F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_set("hits"))).alias("hits"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    bad = hits.where(F.exists("hits", lambda x: x["end"] - x["first"] >= size) | (hit * 100 >= F.col("n_words") * percent)).select(F.col("id").alias("digest"))
+    return row.join(bad, "digest", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def items_digest(items: list[str]) -> str:

@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 from ragtide.llm import decontaminate as d
 from ragtide.llm import queries
+from ragtide.llm._text import NON_WORD, Words
 
 from .conftest import LONG
 
@@ -14,13 +15,13 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute(docs, items, size=13):
+def finds(docs, items, size=13):
+    """Of each document its id, number of words, hit places and items."""
     windows = {}
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - size + 1) if w else 0):
             windows.setdefault(tuple(w[i : i + size]), set()).add("null" if item is None else str(item))
-    out = []
     for doc, text in docs:
         w, hit, found = words(text), set(), set()
         for k in {len(x) for x in windows}:
@@ -28,6 +29,21 @@ def brute(docs, items, size=13):
                 if (t := tuple(w[i : i + k])) in windows:
                     hit |= set(range(i, i + k))
                     found |= windows[t]
+        yield doc, w, hit, found
+
+
+def leaks(docs, items, size=13):
+    """For each document whether it holds a passage: a stretch of hit words, or a twentieth of all."""
+    out = []
+    for _, w, hit, _ in finds(docs, items, size):
+        stretch = any(all(i + j in hit for j in range(size)) for i in hit)
+        out.append(stretch or len(hit) > 0 and 20 * len(hit) >= len(w))
+    return out
+
+
+def brute(docs, items, size=13):
+    out = []
+    for doc, w, hit, found in finds(docs, items, size):
         out.append((doc, len(w), len(hit), len(found), d.items_digest(list(found)), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
@@ -55,14 +71,29 @@ def test_against_brute_force(spark, documents, case, room):
     assert sorted((tuple(x) for x in got), key=str) == brute(docs, items)
 
 
-def test_dropping(spark, documents, case):
+@pytest.mark.parametrize("room", [64 << 20, 9000])
+def test_dropping(spark, documents, case, room):
     docs, items = case
+    docs = [*docs, (5, "another text"), (None, "and one without an id"), (200, "far " * 600 + items[4][1] + " away" * 600), (201, "far " * 600 + "x1 y2" + " away" * 600)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    table = documents(docs)
-    kept = d.drop_contaminated(table, bench)
+    table = documents(docs).selectExpr("*", "'mine' AS __th", "'too' AS row", "1 AS digest", "0 AS hits")
+    kept = d.drop_contaminated(table, bench, max_broadcast_bytes=room)
     assert kept.columns == table.columns
-    bad = {x[0] for x in brute(docs, items) if x[5]}
-    assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
+    bad = leaks(docs, items)
+    assert sorted((str(x["doc_id"]), x["text"] or "", x["__th"]) for x in kept.collect()) == sorted((str(i), t or "", "mine") for (i, t), b in zip(docs, bad) if not b)
+    assert 20 < sum(bad) < len(bad) - 9 and bad[-2:] == [len(words(items[4][1])) >= 13, False]
+
+
+def test_words_that_a_polynomial_confuses(spark, documents):
+    a = "ab"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    got = {x["doc_id"]: (x["n_hit"], x["n_items"], x["contaminated"]) for x in d.verdict(d.find_items(documents([(1, a), (2, b)]), bench)).collect()}
+    assert got == {1: (1, 1, True), 2: (0, 0, False)}
+    w = Words([a.encode(), b.encode(), a.upper().encode()], NON_WORD)
+    assert w.hash[0] == w.hash[2] != w.hash[1]
 
 
 def test_empty(spark, documents):
