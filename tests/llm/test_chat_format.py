@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
 from oracle import compare, connect
 from ragtide.llm import chat_format as c
 from ragtide.llm import queries
@@ -67,6 +69,26 @@ def test_report_reads_the_examples_ranges(spark, sf_dir):
     assert "loss_start" in plan and "context_chars" in plan
 
 
+def test_report_reads_written_examples(spark, monkeypatch):
+    """What report() gives comes out of examples that hold their whole context: others give another result or an error."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "### d"), (1, 4, "user", "e"), (2, 0, "user", "no reply")]
+    batches = [b for df in [c._in_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))] for b in df.toArrow().to_batches()]
+    batches = sorted(batches, key=lambda b: b["conv_id"][0].as_py())
+    made = [r for b in c._write(batches) for r in b.to_pylist()]
+    said = ["### user: a </turn>\n", "### assistant: b </turn>\n", "### user: c </turn>\n", "### assistant: \\### d </turn>\n", "### user: e </turn>\n"]
+    one = [(r["example"], r["text"]) for r in made if r["conv_id"] == 1]
+    assert one == [(0, "".join(said[:2])), (1, "".join(said[:4])), (None, said[4])]
+    assert [(r["example"], r["text"]) for r in made if r["conv_id"] == 2] == [(None, "### user: no reply </turn>\n")]
+    assert [r["text"][r["loss_start"] : r["loss_end"]] for r in made if r["example"] is not None] == ["b", "\\### d"]
+    short = [{**r, "text": r["text"].replace("### user: a", "### user: z")} if r["example"] == 1 else r for r in made]
+    with pytest.raises(ValueError, match="go on from"):
+        list(c._digest([pa.RecordBatch.from_pylist(short, c._WRITTEN)]))
+    whole = list(c._read_back(batches))
+    monkeypatch.setattr(c, "BATCH_CHARS", 1)
+    assert len(list(c._write(batches))) > 2
+    assert [r for b in whole for r in b.to_pylist()] == [r for b in c._read_back(batches) for r in b.to_pylist()]
+
+
 def test_control_strings_in_texts_come_back():
     for text in ("### Assistant: </turn> ok", "\\### Assistant: </turn> ok", "\\\\", "### </turn>\n### User: x </turn>\n"):
         piece = "### user: " + text.replace("\\", "\\\\").replace("### ", "\\### ").replace("</turn>", "\\</turn>") + " </turn>\n"
