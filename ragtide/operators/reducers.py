@@ -3,16 +3,19 @@
 axis >= 1 (or a negative axis that comes to that) works within rows; axis 0 across rows, position by position; axis None
 over all values. Missing values are skipped. keepdims keeps a dimension of length 1. Where nothing is left to reduce,
 mask_identity=True gives None and False the identity (for max and min the type's bounds). Ties of argmax and argmin go
-to the first. NaN is the largest value for max and argmax, as Spark orders it. Positions at axis 0 or None count rows,
-or values in row order; the mean, variance, deviation, moments, fits and softmax take any axis that is named below.
+to the first. NaN is the largest value for max and argmax, as Spark orders it. Products of whole numbers wrap at 64 bits,
+as in an array of int64. Positions at axis 0 or None count rows, or values in row order; the mean, variance, deviation,
+moments, fits and softmax take any axis that is named below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,8 @@ from ragtide.operators.frame import Frame, hidden
 from ragtide.operators.node import Leaf, Rec, below, fresh, let, of_type, once
 
 _WHOLE = T.ByteType | T.ShortType | T.IntegerType | T.LongType | T.BooleanType
+#: Products by key that a task holds before it hands them on.
+_HELD = 2**14
 
 
 def _present(a: Column) -> Column:
@@ -65,14 +70,44 @@ def _sum(a: Column, dtype: T.DataType) -> Column:
 
 
 def _prod(a: Column, dtype: T.DataType) -> Column:
-    return F.aggregate(a, _zero(dtype, 1), lambda acc, v: F.when(v.isNull(), acc).otherwise(acc * _numeric(v, dtype)))
+    times = _times if isinstance(dtype, _WHOLE) else lambda x, y: x * y
+    return F.aggregate(a, _zero(dtype, 1), lambda acc, v: F.when(v.isNull(), acc).otherwise(times(acc, _numeric(v, dtype))))
 
 
-def _product(v: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.FloatType | T.DoubleType):
-        return F.product(v)
-    # Whole products stay whole: by sign, zero and the logarithm's sum they would not.
-    return F.product(v).cast("bigint")
+def _times(x: Column, y: Column) -> Column:
+    """The low 64 bits of a product of whole numbers; past 63 bits it is worked out in decimals, which hold all of it."""
+    whole = x.cast("decimal(20,0)") * y.cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    return F.coalesce(F.try_multiply(x, y), (F.pmod(whole, F.lit(Decimal(2**64))) - F.lit(Decimal(2**63))).cast("bigint"))
+
+
+def _totals(r: Reducer, df: DataFrame, keys: list[str], v: str, dtype: T.DataType) -> DataFrame:
+    """By keys t, the aggregate of column v, and n, the number of its present values."""
+    if r.name == "prod" and isinstance(dtype, _WHOLE):
+        return _products(df, keys, v)
+    return df.groupBy(*keys).agg(r.total(F.col(v), dtype).alias("t"), F.count(v).alias("n"))
+
+
+def _products(df: DataFrame, keys: list[str], v: str) -> DataFrame:
+    """_totals for products of whole numbers. Spark's own product is one of doubles, which rounds from 2 ** 53 on. Here
+    each task multiplies its rows up in Arrow, batch by batch, and hands on a row for each key; values don't shuffle."""
+    cols = [*keys, "t", "n"]
+    each = df.select(*keys, F.col(v).cast("bigint").alias("t"), F.col(v).isNotNull().cast("bigint").alias("n"))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            table = pa.Table.from_arrays(b.columns, names=cols)
+            table = table if held is None else pa.concat_tables([held, table])
+            made = table.group_by(keys, use_threads=False).aggregate([("t", "product"), ("n", "sum")])
+            held = pa.Table.from_arrays([made.column(c) for c in (*keys, "t_product", "n_sum")], names=cols)
+            if held.num_rows > _HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    some = each.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in each.schema])).groupBy(*keys)
+    return some.agg(_prod(F.collect_list("t"), T.LongType()).alias("t"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def _where(v: Column, dtype: T.DataType) -> Column:
@@ -90,7 +125,7 @@ _ALL = {
         Reducer("count_nonzero", lambda a, t: F.size(F.filter(a, lambda v: _where(v, t))).cast("bigint"), lambda v, t: F.count_if(_where(v, t)), lambda t: F.lit(0).cast("bigint"), False),
         Reducer("max", lambda a, t: F.array_max(a), lambda v, t: F.max(v), lambda t: _bound(t, False), True, True),
         Reducer("min", lambda a, t: F.array_min(a), lambda v, t: F.min(v), lambda t: _bound(t, True), True, True),
-        Reducer("prod", _prod, _product, lambda t: _zero(t, 1), False),
+        Reducer("prod", _prod, lambda v, t: F.product(v), lambda t: _zero(t, 1), False),
         Reducer("sum", _sum, lambda v, t: F.sum(_numeric(v, t)), lambda t: _zero(t, 0), False),
     )
 }
@@ -168,8 +203,7 @@ def _whole(r: Reducer, array: Array, dtype: T.DataType, keepdims: bool, mask: bo
         del pick
     else:
         v = hidden("v")
-        best = values.frame.df.select(values.node.col.alias(v))
-        best = best.agg(r.total(F.col(v), dtype).alias("t"), F.count(v).alias("n"))
+        best = _totals(r, values.frame.df.select(values.node.col.alias(v)), [], v, dtype)
         out = F.when(F.col("n") > 0, F.col("t")) if mask else F.coalesce(F.col("t"), r.empty(dtype)) if r.empty else F.col("t")
     for _ in range(array.ndim if keepdims else 0):
         out = F.array(out)
@@ -197,10 +231,10 @@ def _across(r: Reducer, array: Array, dtype: T.DataType, keepdims: bool, mask: b
     if row:
         pick = F.struct(v.alias("v"), (-F.col(row) if r.name == "argmax" else F.col(row)).alias("i"))
         total = F.abs((F.max if r.name == "argmax" else F.min)(F.when(v.isNotNull(), pick)).getField("i"))
-        n = F.count(v)
+        df = df.groupBy(*places).agg(total.alias("t"), F.count(v).alias("n"))
     else:
-        total, n = r.total(v, dtype), F.count(v)
-    df = df.groupBy(*places).agg(total.alias("t"), n.alias("n"))
+        name = hidden("v")
+        df = _totals(r, df.select(*places, v.alias(name)), places, name, dtype)
     out = F.when(F.col("n") > 0, F.col("t")) if mask else F.coalesce(F.col("t"), r.empty(dtype)) if r.empty else F.col("t")
     df = df.select(*places, out.alias("value"))
     for k in range(len(places) - 1, 0, -1):

@@ -318,3 +318,26 @@ def test_unflatten_inner(spark):
     assert rt.unflatten(v, 2, axis=1).compute() == [[[1, 2], [3, 4]], []]
     c = rt.from_lists([[[1, 0, 3], []]], spark=spark)
     assert rt.unflatten(v, c, axis=1).compute() == [[[1], [], [2, 3, 4]], []]
+
+
+def test_whole_products_are_exact_and_wrap_at_64_bits(spark, monkeypatch):
+    from ragtide.operators import reducers
+
+    monkeypatch.setattr(reducers, "_HELD", 2)
+    low = lambda values: int(np.multiply.reduce(np.array([v for v in values if v is not None], "int64"), dtype="int64"))
+    # 39 threes fit 63 bits, but not the 53 of a double; the other values overflow within rows, at places and in all.
+    rng = np.random.default_rng(7)
+    odd = [[int(v) * 2 + 1 for v in rng.integers(-(2**61), 2**61, n)] for n in (5, 0, 3, 7, 1, 6)]
+    for rows in ([[3]] * 39, [[2]] * 75, [[-2]] * 63, [[5, None], [None], [-7, 2, None]], odd, [*odd, [None], None]):
+        a = rt.from_lists([rows[::2], rows[1::2]], spark=spark)
+        rows = [*rows[::2], *rows[1::2]]
+        assert rt.prod(a).compute() == low([v for r in rows for v in r or []])
+        assert rt.prod(a, axis=1).compute() == [None if r is None else low(r) for r in rows]
+        longest = max(len(r or []) for r in rows)
+        assert rt.prod(a, axis=0).compute() == [low([r[i] for r in rows if r and len(r) > i]) for i in range(longest)]
+    deep = rt.from_lists([[[odd[0], odd[2]]], [[odd[3]], [odd[5], [], odd[4]]]], spark=spark)
+    assert rt.prod(deep, axis=0).compute()[1][0] == odd[2][0]
+    assert rt.prod(deep, axis=0).compute()[0][:1] == [low([odd[0][0], odd[3][0], odd[5][0]])]
+    nothing = rt.from_dataframe(spark.createDataFrame([], "x int")).x
+    assert rt.prod(nothing).compute() == 1 and rt.prod(nothing, mask_identity=True).compute() is None
+    assert rt.prod(rt.from_lists([[1.5, 2.0]], spark=spark)).compute() == 3.0
