@@ -18,8 +18,8 @@ def _written(array: Array, name: str = "value") -> DataFrame:
     """Rows in the array's order within each file, and files in its order where partitions are known."""
     frame = array.frame
     order, df = frame.ordered(), frame.df
-    if frame.part is not None and frame.divisions is not None:
-        df = df.repartitionByRange(frame.npartitions, frame.part).sortWithinPartitions(*order)
+    if frame.part is not None and (frame.divisions is not None or frame.packed):
+        df = df.repartitionById(frame.npartitions, F.col(frame.part).cast("int")).sortWithinPartitions(*order)
     if isinstance(array.node, Rec) and array.depth == 0:
         return df.select(*[column(v).alias(n) for n, v in array.node.fields.items()])
     return df.select(array.col.alias(name))

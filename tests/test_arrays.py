@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 import ragtide as rt
@@ -341,3 +342,57 @@ def test_whole_products_are_exact_and_wrap_at_64_bits(spark, monkeypatch):
     nothing = rt.from_dataframe(spark.createDataFrame([], "x int")).x
     assert rt.prod(nothing).compute() == 1 and rt.prod(nothing, mask_identity=True).compute() is None
     assert rt.prod(rt.from_lists([[1.5, 2.0]], spark=spark)).compute() == 3.0
+
+
+def _explained(array, capsys):
+    array.to_spark().explain()
+    return capsys.readouterr().out
+
+
+def test_dealing_takes_no_sample_to_the_driver_and_numbers_rows_once(spark, capsys):
+    a = rt.from_dataframe(spark.range(100).withColumnRenamed("id", "k"), order_by="k").k
+    plan = _explained(rt.sample(a.repartition(rows_per_partition=10), factor=7), capsys)
+    assert "rangepartitioning" not in plan.lower() and plan.count("Window [") <= 2
+    plan = _explained(a.repartition(n_to_one=2), capsys)
+    assert "rangepartitioning" not in plan.lower()
+
+
+def test_many_partitions_share_one_of_sparks(spark, tmp_path, monkeypatch):
+    from ragtide.operators import rows
+
+    monkeypatch.setattr(rows, "MANY", 3)  # the tests' shuffles have 4
+    a = rt.from_dataframe(spark.range(47).withColumnRenamed("id", "k"), order_by="k").k
+    many = a.repartition(rows_per_partition=5)
+    assert many.npartitions == 10 and many.divisions == (*range(0, 47, 5), 47)
+    assert many.frame.df.rdd.getNumPartitions() == 4
+    assert many.compute() == list(range(47))
+    assert [many.partitions[i].compute() for i in (0, 9)] == [[0, 1, 2, 3, 4], [45, 46]]
+    assert rt.sample(many, factor=3).compute() == [k for k in range(47) if k % 5 % 3 == 0]
+    # Functions over partitions and files get one partition each, also after rows were taken out or joined on.
+    first = lambda v: [v[0].as_py(), len(v)]
+    assert rt.map_partitions(first, many, meta="bigint").compute() == [x for i in range(10) for x in (5 * i, 2 if i == 9 else 5)]
+    assert sorted(rt.map_partitions(lambda v: [len(v)], rt.sample(many, factor=3), meta="bigint").compute()) == [1] + [2] * 9
+    assert len(rt.map_partitions(lambda v: [len(v)], many.partitions[2:9], meta="bigint").compute()) == 7
+    assert len(rt.map_partitions(lambda v: [len(v)], rt.concatenate([many, many]), meta="bigint").compute()) == 20
+    assert rt.map_partitions(lambda v: v, many, meta="bigint", output_divisions=1).partitions[9].compute() == [45, 46]
+    rt.to_parquet(many, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("*.parquet"))
+    assert [pq.read_table(f).column(0).to_pylist() for f in files] == [list(range(i, min(i + 5, 47))) for i in range(0, 47, 5)]
+    rt.to_parquet(rt.sample(many, factor=3), str(tmp_path / "some"))
+    assert [pq.read_table(f).column(0).to_pylist() for f in sorted((tmp_path / "some").glob("*.parquet"))] == [[k for k in (i, i + 3) if k < 47] for i in range(0, 47, 5)]
+    cut = a.repartition(divisions=[3, 10, 12, 20, 21, 40, 45])
+    assert cut.divisions == (0, 7, 9, 17, 18, 37, 42) and cut.compute() == list(range(3, 45))
+    assert [cut[1:3].compute(), cut.partitions[3].compute()] == [[4, 5], [20]]
+    assert rt.sample(cut, factor=4).compute() == [k for b, e in zip((3, 10, 12, 20, 21, 40), (10, 12, 20, 21, 40, 45)) for k in range(b, e, 4)]
+    assert rt.sample(many.repartition(n_to_one=2), factor=4).compute() == [k for b in range(0, 47, 10) for k in range(b, min(b + 10, 47), 4)]
+
+
+def test_a_thousand_partitions_and_more(spark):
+    a = rt.from_dataframe(spark.range(2100).withColumnRenamed("id", "k"), order_by="k").k
+    ones = a.repartition(rows_per_partition=1)
+    assert ones.npartitions == 2100 and ones.frame.df.rdd.getNumPartitions() == 1000
+    assert rt.sample(ones, factor=2).compute() == list(range(2100)) and ones.partitions[2099].compute() == [2099]
+    # Two rows each, and none in the last ones.
+    assert rt.sample(a.repartition(npartitions=1500), factor=2).compute() == list(range(0, 2100, 2))
+    with pytest.raises(ValueError):
+        a.repartition(divisions=[0, *range(2, 1100)])
